@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup
+from tidemark.llm import exact_dedup, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op10_warc": warc.SQL,
 }
