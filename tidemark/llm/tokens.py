@@ -2,7 +2,8 @@
 
 The pre-tokenizer of a byte-level BPE always starts a new piece at a space that stands alone between two
 characters that aren't white space, and pieces are merged each by itself. So the ids of a text are those of its
-stretches between such spaces, in order. Stretches recur: their ids are kept, `KEPT` at most, then learnt anew.
+stretches between such spaces, in order. Stretches recur: their ids are kept, up to `KEPT`, then those of long
+ones are learnt anew.
 A stretch of letters with a full stop, a comma or a line end is put together from its parts, which are pieces
 of their own too. What looks like anything else goes to the library whole.
 """
@@ -15,8 +16,8 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT = 400_000
-_LONG = 48
+KEPT = 500_000
+_LONG, _SHORT = 48, 8
 _CROWDED = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
@@ -52,8 +53,9 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each word after a space; words without white space go to the library as one text."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        """Ids of each word after a space; words without white space go to the library many to a text."""
+        lines = [" " + " ".join(words[k : k + 128]) for k in range(0, len(words), 128)]
+        ids = np.array([k for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for k in e.ids], "<u4")
         at = np.flatnonzero(self.opens[ids])
         if len(at) != len(words):
             return self._ids([" " + w for w in words])
@@ -89,9 +91,12 @@ class Encoder:
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.spaced) + len(self.bare) > KEPT:
-            self.spaced.clear()
-            self.bare.clear()
-        if not self.bare:
+            for kept in (self.spaced, self.bare):
+                short = {p: ids for p, ids in kept.items() if len(p) <= _SHORT}
+                kept.clear()
+                if len(short) < KEPT // 4:
+                    kept.update(short)
+        if "\n" not in self.bare:
             self.bare["\n"] = self._ids(["\n"])[0]
         split = []
         for text in texts:
@@ -105,7 +110,7 @@ class Encoder:
                 head, parts = (head, [*parts[:-1], parts[-1] + " "]) if parts else (head + " ", [])
             split.append((head, parts))
         known = self.spaced
-        if new := {p for _, parts in split for p in parts if p not in known}:
+        if new := set().union(*[parts for _, parts in split]).difference(known):
             self._learn(list(new))
         out = [h + b"".join(map(known.__getitem__, parts)) for h, (_, parts) in zip(self._ids([h for h, _ in split]), split)]
         for p in new:
