@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, token_files, warc
+from tidemark.llm import exact_dedup, packing, token_files, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op7_token_files": token_files.op7_token_files,
+    "op8_packing": packing.op8_packing,
     "op10_warc": warc.op10_warc,
 }
 
