@@ -16,11 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT = 500_000
-_LONG, _SHORT = 48, 8
+KEPT = 600_000
+_LONG, _SHORT = 9, 7
 _CROWDED = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_ALPHA = re.compile(_LETTERS).fullmatch
 _WORD = re.compile(f"({_LETTERS})([.,]?)(?:\n({_LETTERS})([.,]?))?")
 
 
@@ -39,10 +40,17 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # The same model for words that are cut already and spelt in its alphabet, a letter for each byte.
+        self.merger = Tokenizer(self.tokenizer.model)
+        self.merger.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in plain]
+        self.alphabet = {b: b for b in plain} | {b: 256 + k for k, b in enumerate(other)}
+        self.alphabet[32] = " "
         self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for token, k in self.tokenizer.get_vocab().items():
             self.opens[k] = token.startswith("Ġ")
@@ -53,9 +61,13 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _spaced(self, words: list[str]) -> list[bytes]:
-        """Ids of each word after a space; words without white space go to the library many to a text."""
-        lines = [" " + " ".join(words[k : k + 128]) for k in range(0, len(words), 128)]
-        ids = np.array([k for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for k in e.ids], "<u4")
+        """Ids of each word after a space. Words are letters only, and so one piece each."""
+        lines = []
+        for k in range(0, len(words), 128):
+            line = " ".join(words[k : k + 128])
+            spelt = line if line.isascii() else line.encode().decode("latin-1").translate(self.alphabet)
+            lines.append("Ġ" + spelt.replace(" ", " Ġ"))
+        ids = np.array([k for e in self.merger.encode_batch_fast(lines, add_special_tokens=False) for k in e.ids], "<u4")
         at = np.flatnonzero(self.opens[ids])
         if len(at) != len(words):
             return self._ids([" " + w for w in words])
@@ -65,7 +77,9 @@ class Encoder:
     def _learn(self, parts: list[str]) -> None:
         made, words, rest, bare = [], {}, [], {}
         for p in parts:
-            if m := _WORD.fullmatch(p):
+            if _ALPHA(p):
+                words[p] = None
+            elif m := _WORD.fullmatch(p):
                 first, stop, word, end = m.groups()
                 if first not in self.spaced:
                     words[first] = None
@@ -74,8 +88,6 @@ class Encoder:
                         bare[x] = None
                 if len(first) < len(p):
                     made.append((p, first, stop, word, end))
-            elif p and not any(c.isspace() for c in p):
-                words[p] = None
             else:
                 rest.append(p)
         if bare:
