@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, near_dedup, packing, token_files, toxicity, warc
+from tidemark.llm import exact_dedup, near_dedup, packing, secret_scan, token_files, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op7_token_files": token_files.op7_token_files,
     "op8_packing": packing.op8_packing,
     "op9_toxicity": toxicity.op9_toxicity,

@@ -75,11 +75,13 @@ class Encoder:
         return [data[a:b] for a, b in zip(at, at[1:])]
 
     def _learn(self, parts: list[str]) -> None:
-        made, words, rest, bare = [], {}, [], {}
-        for p in parts:
-            if _ALPHA(p):
-                words[p] = None
-            elif m := _WORD.fullmatch(p):
+        made, rest, bare = [], [], {}
+        plain = [p for p in parts if p.isalpha()]
+        if not _ALPHA("".join(plain)):
+            plain = [p for p in plain if _ALPHA(p)]
+        words = dict.fromkeys(plain)
+        for p in set(parts).difference(words):
+            if m := _WORD.fullmatch(p):
                 first, stop, word, end = m.groups()
                 if first not in self.spaced:
                     words[first] = None
