@@ -42,7 +42,7 @@ def identities(docs: DataFrame, text: str, block_chars: int = BLOCK_CHARS, key=_
     """(rows, names): the facts of each row without its text, and each row's identity (__row, level, name)."""
     seed = 0
     while True:
-        k = lambda b, s=seed: key(b, s)
+        k = lambda block: key(block, seed)  # noqa: B023, E731
         plain = with_row(docs).withColumn("__norm", normalised(F.col(text)))
         rows = cut(
             plain.select(

@@ -43,7 +43,7 @@ def _let(value: Column, body) -> Column:
 def window_entropy(value: Column, window: int = WINDOW) -> Column:
     """The largest Shannon entropy, in bits, of any `window` neighbouring characters (ASCII); null if shorter."""
     part = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(0.0)
-    codes = F.transform(F.split(value, "(?!^)"), lambda c: F.ascii(c))
+    codes = F.transform(F.regexp_extract_all(value, F.lit("."), F.lit(0)), lambda c: F.ascii(c))
     begin = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"), F.lit(None).cast("double").alias("least"))
 
     def step(codes: Column):
