@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import exact_dedup, near_dedup, packing, secret_scan, token_files, toxicity, warc
+from tidemark.llm import exact_dedup, near_dedup, packing, pii, secret_scan, token_files, topk, toxicity, warc
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_pii": pii.op2_pii,
+    "op3_topk": topk.op3_topk,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_secret_scan": secret_scan.op5_secret_scan,
     "op7_token_files": token_files.op7_token_files,
@@ -16,5 +18,6 @@ QUERIES = {
 
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
+    "op3_topk": topk.SQL,
     "op10_warc": warc.SQL,
 }
