@@ -20,7 +20,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS = 22
+from tidemark.llm.shared import cut
+
+BITS = 30
 SAMPLE = 24_000
 TERMS = 4096
 FACTORS = 8
@@ -70,34 +72,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def _chosen(flat: np.ndarray, of: np.ndarray, y: np.ndarray, most: int) -> np.ndarray:
-    """Terms by the chi-squared statistic of their counts in both classes."""
-    n, n1 = len(y), int(y.sum())
+def chosen_terms(rows: DataFrame, most: int = TERMS, least: float = CHI2) -> np.ndarray:
+    """Of term sets (d, y, terms) the terms that go with a class, by the chi-squared statistic of their counts;
+    counted in the cluster, so that the driver gets `most` numbers."""
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < n1 < n:
         return np.empty(0, np.uint32)
-    every = np.bincount(flat, minlength=1 << BITS)
-    with_ = np.bincount(flat[y[of] == 1], minlength=1 << BITS)
-    expected = every * (n1 / n)
-    spread = np.maximum(expected * (1 - n1 / n) * (1 - every / n), 1e-9)
-    chi2 = np.maximum(np.abs(with_ - expected) - 0.5, 0) ** 2 / spread
-    chi2[every < 2] = 0
-    best = np.argsort(-chi2, kind="stable")[:most]
-    return np.sort(best[chi2[best] > CHI2]).astype(np.uint32)
-
-
-def train(found: list[np.ndarray], labels: np.ndarray, most: int = TERMS, factors: int = FACTORS, steps: int = STEPS, decay: float = 2e-4, seed: int = 7) -> Model:
-    """Fits a model to term sets and labels 0 or 1. Without both classes it has a bias only."""
+    counts = rows.select("y", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("c"), F.sum("y").alias("c1")).where("c >= 2")
+    expected = F.col("c") * (n1 / n)
+    spread = expected * (1 - n1 / n) * (1 - F.col("c") / n)
+    off = F.greatest(F.abs(F.col("c1") - expected) - 0.5, F.lit(0.0))
+    best = counts.select("term", (off * off / F.greatest(spread, F.lit(1e-9))).alias("chi2")).where(F.col("chi2") > least).orderBy(F.desc("chi2"), "term").limit(most)
+    return np.array(sorted(r.term for r in best.collect()), np.uint32)
+
+
+def train(found: list[np.ndarray], labels: np.ndarray, index: np.ndarray, factors: int = FACTORS, steps: int = STEPS, decay: float = 2e-4, seed: int = 7) -> Model:
+    """Fits a model to documents, given by the places of their terms in `index`, and labels 0 or 1."""
     y = np.asarray(labels, float)
     of = np.repeat(np.arange(len(y)), [len(f) for f in found])
-    flat = np.concatenate(found).astype(np.int64) if len(found) else np.empty(0, np.int64)
-    index = _chosen(flat, of, y, most)
+    at = np.concatenate(found).astype(np.int64) if len(found) else np.empty(0, np.int64)
     rate = (y.sum() + 0.5) / (len(y) + 1)
     model = Model(float(np.log(rate / (1 - rate))), index, np.zeros(len(index)), np.random.default_rng(seed).normal(0, 0.05, (len(index), factors)))
     if not len(index):
         return model
-    at = np.searchsorted(index, flat).clip(max=len(index) - 1)
-    keep = index[at] == flat
-    at, of, n = at[keep], of[keep], len(y)
+    n = len(y)
     # documents without a chosen term differ in nothing but their label: the bias sees their number
     values = [np.array([model.bias]), model.weight, model.factors]
     first, second = [np.zeros_like(v) for v in values], [np.zeros_like(v) for v in values]
@@ -123,7 +121,7 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, **options) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, most: int = TERMS, **options) -> Model:
     """A model from the labelled rows outside the held-out quarter, `sample` of them at most."""
     chosen = labels.select(F.col(doc_id).alias("d"), F.col(label).cast("int").alias("y")).where("d IS NOT NULL AND y IN (0, 1)")
     chosen = chosen.where(~held_out("d")).orderBy(F.xxhash64("d"), "d", "y").limit(sample)
@@ -133,15 +131,26 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         import pyarrow as pa
 
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
-                found = [terms(t).tobytes() for t in some.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(found, pa.binary())], names=["d", "y", "found"])
-
-    got = rows.select(F.col("d").cast("long"), "t", "y").mapInArrow(read, "d long, y int, found binary").toArrow()
-    order = np.lexsort((got.column("y").to_numpy(), got.column("d").to_numpy()))[: 2 * sample] if got.num_rows else []
-    packed, y = got.column("found"), got.column("y").to_numpy()
-    return train([np.frombuffer(packed[int(k)].as_py(), np.uint32) for k in order], y[order] if len(order) else np.empty(0), **options)
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                found = pa.array([terms(t).astype(np.int32) for t in some.column(1).to_pylist()], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), found], names=["d", "y", "terms"])
+
+    known = cut(rows.select(F.col("d").cast("long"), "t", "y").mapInArrow(read, "d long, y int, terms array<int>"), "toxic-terms")
+    index = chosen_terms(known, most)
+
+    def places(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [np.flatnonzero(np.isin(index, np.array(t, np.uint32), assume_unique=True)).astype(np.int32) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["d", "y", "terms"])
+
+    got = known.mapInArrow(places, "d long, y int, terms array<int>").toArrow()
+    d, y = got.column("d").to_numpy(), got.column("y").to_numpy()
+    found = got.column("terms").to_pylist()
+    order = sorted(range(len(d)), key=lambda k: (d[k], y[k], found[k]))
+    return train([np.array(found[k], np.int64) for k in order], y[order], index, **options)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", column: str = "score", keep: list[str] | None = None) -> DataFrame:
