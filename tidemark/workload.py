@@ -1,5 +1,6 @@
 """Imports every query module once and exposes the catalogue."""
 
+from tidemark.operators import behaviour, budgets, derived, identity, novelty, patterns, raw, rules, sessions, store  # noqa: F401
 from tidemark.plans import flagship  # noqa: F401
 from tidemark.plans.catalog import ORACLES, QUERIES
 
