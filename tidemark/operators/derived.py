@@ -14,14 +14,14 @@ SELECT system, entity, CASE WHEN SUM(up + down) > 1e-9 THEN ROUND(SUM(up) / SUM(
 plan("set_entropy_normalized", """
 WITH n AS (SELECT system, day, token, CAST(COUNT(*) AS DOUBLE) AS n FROM {obs} o GROUP BY system, day, token),
 p AS (SELECT system, day, n / SUM(n) OVER (PARTITION BY system, day) AS p FROM n)
-SELECT system, day, COUNT(*) AS k, CASE WHEN COUNT(*) <= 1 THEN 0e0 ELSE ROUND(-SUM(p * LOG2(p)) / LOG2(CAST(COUNT(*) AS DOUBLE)), 6) END AS entropy FROM p GROUP BY system, day""")
+SELECT system, day, COUNT(*) AS k, CASE WHEN COUNT(*) <= 1 THEN 0e0 ELSE ROUND(SUM(p * LOG2(1 / p)) / LOG2(CAST(COUNT(*) AS DOUBLE)), 6) END AS entropy FROM p GROUP BY system, day""")
 
 plan("host_char_entropy", """
 WITH h AS (SELECT DISTINCT LOWER(SPLIT_PART(SPLIT_PART(url, '://', 2), '/', 1)) AS host FROM {pages} p),
 l AS (SELECT host, SPLIT_PART(host, '.', 1) AS label FROM h),
 a AS (SELECT host, CAST(LENGTH(label) AS DOUBLE) AS n, c.ch, CAST(LENGTH(label) - LENGTH(REPLACE(label, c.ch, '')) AS DOUBLE) AS k FROM l
       CROSS JOIN (VALUES ('a'),('b'),('c'),('d'),('e'),('f'),('g'),('h'),('i'),('j'),('k'),('l'),('m'),('n'),('o'),('p'),('q'),('r'),('s'),('t'),('u'),('v'),('w'),('x'),('y'),('z'),('0'),('1'),('2'),('3'),('4'),('5'),('6'),('7'),('8'),('9'),('-')) AS c(ch))
-SELECT host, ROUND(-SUM(k / n * LOG2(k / n)), 6) AS char_entropy FROM a WHERE k > 0 GROUP BY host""")
+SELECT host, ROUND(SUM(k / n * LOG2(n / k)), 6) AS char_entropy FROM a WHERE k > 0 GROUP BY host""")
 
 plan("peer_first_seen_30d", """
 WITH s AS (SELECT system, entity, peer, day, LAG(day) OVER (PARTITION BY system, entity, peer ORDER BY day) AS before FROM (SELECT DISTINCT system, entity, peer, day FROM {flow} f) d)

@@ -128,4 +128,4 @@ plan("rule_grain_map_entropy", """
 WITH d AS (SELECT DISTINCT system, day FROM {obs} o), n AS (SELECT system, day, token, COUNT(*) AS n FROM {obs} o GROUP BY system, day, token),
 g AS (SELECT d.system, d.day, n.token, CAST(SUM(n.n) AS DOUBLE) AS n FROM d JOIN n ON n.system = d.system AND n.day BETWEEN d.day - 2 AND d.day GROUP BY d.system, d.day, n.token),
 p AS (SELECT system, day, n / SUM(n) OVER (PARTITION BY system, day) AS p FROM g)
-SELECT system, day, COUNT(*) AS tokens, ROUND(MAX(p), 6) AS concentration, ROUND(-SUM(p * LOG2(p)), 6) AS entropy_bits FROM p GROUP BY system, day""")
+SELECT system, day, COUNT(*) AS tokens, ROUND(MAX(p), 6) AS concentration, ROUND(SUM(p * LOG2(1 / p)), 6) AS entropy_bits FROM p GROUP BY system, day""")

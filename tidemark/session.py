@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +28,21 @@ def build(app: str = "tidemark", cores: int | str = "*", memory: str = "8g", **c
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def share_package(spark: SparkSession) -> None:
+    """Lets Python workers on this machine import the library from where it lies, if they can't already."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    paths = [p for p in (env.get("PYTHONPATH", "") + os.pathsep + os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (`spark.checkpoint.dir`); where that is unset, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        root = tempfile.mkdtemp(prefix="tidemark-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
