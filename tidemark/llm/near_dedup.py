@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, small_side, with_row
+from tidemark.llm.shared import cut, small_side, tidy, with_row
 
 WORDS = 5
 PERCENT = 75
@@ -97,6 +97,7 @@ def _over_texts(docs: DataFrame, make, schema: str) -> DataFrame:
     """Runs `make(text) -> tuple` over `docs` (columns first, text last); the tuple follows the other columns."""
     names = [c.split()[0] for c in schema.split(", ")]
 
+    @tidy
     def read(batches):
         import pyarrow as pa
 
@@ -163,6 +164,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
     one = sets.select(F.col("row").alias("b"), F.col("shingles").alias("sb"))
     other = sets.select(F.col("row").alias("a"), F.col("shingles").alias("sa"))
 
+    @tidy
     def verify(batches):
         import pyarrow as pa
 

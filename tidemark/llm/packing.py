@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, tidy
 from tidemark.llm.tokens import encoder, vocabulary
 
 CAPACITY = 1024
@@ -190,6 +190,7 @@ def pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocab: s
     has no pieces."""
     vocab = vocab or vocabulary()
 
+    @tidy
     def cuts(batches):
         import pyarrow as pa
 

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import tidy
 from tidemark.llm.tokens import vocabulary
 
 SAMPLES = 2
@@ -317,6 +318,7 @@ def sampled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
     """
     model = model or vocabulary("piece_bpe_32k.model")
 
+    @tidy
     def work(batches):
         import pyarrow as pa
 
@@ -340,6 +342,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
     """doc_id and ids: the model's own, best segmentation of every row's whole text (null: empty)."""
     model = model or vocabulary("piece_bpe_32k.model")
 
+    @tidy
     def work(batches):
         import pyarrow as pa
 
@@ -355,6 +358,7 @@ def decoded(ids: DataFrame, doc_id: str = "doc_id", column: str = "ids", model:
     """doc_id and text of every row of ids (null: none)."""
     model = model or vocabulary("piece_bpe_32k.model")
 
+    @tidy
     def work(batches):
         import pyarrow as pa
 

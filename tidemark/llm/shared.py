@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -48,6 +50,30 @@ def with_row(df: DataFrame, name: str = "__row") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def _give_back() -> None:
+    """Returns memory that a task has freed to the system: a worker lives on, and others need it."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def tidy(work):
+    """For functions over Arrow batches: gives memory back when a partition is done."""
+
+    @functools.wraps(work)
+    def wrapped(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _give_back()
+
+    return wrapped
+
+
 def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast where the counted rows are few enough for it."""
     return F.broadcast(df) if rows <= limit else df

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, scratch
+from tidemark.llm.shared import cut, scratch, tidy
 from tidemark.llm.tokens import encoder, vocabulary
 
 CHUNK = 1 << 16
@@ -148,6 +148,7 @@ def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     vocab = vocab or vocabulary()
     slim = docs.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t"))
 
+    @tidy
     def write(batches):
         import pyarrow as pa
 
@@ -184,6 +185,7 @@ def _read(spark: SparkSession, manifest: DataFrame, schema: str, made) -> DataFr
     files = [(r.path, r.start) for r in manifest.collect()]
     last = schema.split()[-2]
 
+    @tidy
     def read(batches):
         import pyarrow as pa
 

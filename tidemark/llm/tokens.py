@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT = 600_000
+KEPT = 250_000
 _LONG, _SHORT = 9, 7
 _CROWDED = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")

@@ -20,25 +20,25 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, tidy
 
 BITS = 30
 SAMPLE = 24_000
 TERMS = 4096
-FACTORS = 8
+FACTORS = 4
 CHI2 = 15.0
 THRESHOLD = 0.3
-STEPS = 250
+STEPS = 120
 _STARTS = (4, 5)
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_KNOWN = 300_000
+_KNOWN = 150_000
 
 
 def _hash(term: bytes) -> int:
     return xxhash.xxh64_intdigest(term) >> (64 - BITS)
 
 
-@lru_cache(maxsize=1 << 17)
+@lru_cache(maxsize=1 << 15)
 def _terms(word: bytes) -> tuple[int, ...]:
     return (_hash(b"w" + word), *(_hash(b"s" + word[:n]) for n in _STARTS if len(word) > n))
 
@@ -127,6 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = chosen.where(~held_out("d")).orderBy(F.xxhash64("d"), "d", "y").limit(sample)
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), "d")  # at most `sample` rows of two numbers
 
+    @tidy
     def read(batches):
         import pyarrow as pa
 
@@ -157,13 +158,15 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
     """`docs`, or its columns `keep`, with a probability from each row's whole text; a null or empty one gets what the bias says."""
     keep = docs.columns if keep is None else keep
     place = {int(t): k for k, t in enumerate(model.index)}
+    at = keep.index(text) if text in keep else len(keep)
 
+    @tidy
     def read(batches):
         import pyarrow as pa
 
         known: dict[bytes, tuple[int, ...]] = {}
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at)
             for k in range(0, batch.num_rows, 512):
                 found = []
                 for text in texts.slice(k, 512).to_pylist():
@@ -174,10 +177,11 @@ def score(docs: DataFrame, model: Model, text: str = "text", column: str = "scor
                 if len(known) > _KNOWN:
                     known.clear()
                 some = batch.slice(k, 512)
-                yield pa.RecordBatch.from_arrays([*some.columns[:-1], pa.array(model.scores(found))], names=[*some.schema.names[:-1], column])
+                yield pa.RecordBatch.from_arrays([*some.columns[: len(keep)], pa.array(model.scores(found))], names=[*keep, column])
 
     schema = ", ".join(f"`{c}` {kind}" for c, kind in docs.dtypes if c in keep)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).alias("__text")).mapInArrow(read, f"{schema}, `{column}` double")
+    sent = [F.col(f"`{c}`") for c in keep] + ([] if text in keep else [F.col(text).alias("__text")])
+    return docs.select(*sent).mapInArrow(read, f"{schema}, `{column}` double")
 
 
 def decided(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
