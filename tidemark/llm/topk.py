@@ -106,7 +106,8 @@ def top_k(vectors: DataFrame, chosen, k: int = 5, vec_id: str = "vec_id", vector
     blocks, batches = max(1, math.ceil(n / block)), max(1, math.ceil(asked / batch))
     spread = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     own = lambda parts: F.pmod(F.xxhash64("__row"), F.lit(parts)).cast("int")
-    candidates = rows.select("__row", "id", "x", own(blocks).alias("block"), spread(batches).alias("batch"))
+    # names of their own: two sides that share columns of one plan aren't kept apart by a cogroup
+    candidates = rows.select(F.col("__row").alias("c_row"), F.col("id").alias("c_id"), F.col("x").alias("c_x"), own(blocks).alias("c_block"), spread(batches).alias("c_batch"))
     queries = rows.where("__asked").select("__row", "id", "x", spread(blocks).alias("block"), own(batches).alias("batch"))
 
     def read(asked, held):
@@ -114,18 +115,18 @@ def top_k(vectors: DataFrame, chosen, k: int = 5, vec_id: str = "vec_id", vector
 
         if not len(asked) or not len(held):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in ("q", "query_id", "row", "vec_id", "score")})
-        xs = _matrix([*asked.x, *held.x])
-        place = {r: i for i, r in enumerate(held["__row"])}
+        xs = _matrix([*asked.x, *held.c_x])
+        place = {r: i for i, r in enumerate(held.c_row)}
         mine = np.array([place.get(r, -1) for r in asked["__row"]])
         found = top_of_block(xs[: len(asked)], xs[len(asked) :], mine, k)
         size = [min(len(p), k) for p, _ in found]
-        ids, rows_ = held.id.to_numpy(), held["__row"].to_numpy()
+        ids, rows_ = held.c_id.to_numpy(), held.c_row.to_numpy()
         best = [p[np.lexsort((rows_[p], ids[p], -s))][:k] for p, s in found]
         score = [s[np.lexsort((rows_[p], ids[p], -s))][:k] for p, s in found]
         at = np.concatenate(best).astype(int)
         return pd.DataFrame({"q": np.repeat(asked["__row"].to_numpy(), size), "query_id": np.repeat(asked.id.to_numpy(), size), "row": rows_[at], "vec_id": ids[at], "score": np.concatenate(score)})
 
-    cells = queries.groupBy("block", "batch").cogroup(candidates.groupBy("block", "batch")).applyInPandas(read, "q long, query_id long, row long, vec_id long, score long")
+    cells = queries.groupBy("block", "batch").cogroup(candidates.groupBy("c_block", "c_batch")).applyInPandas(read, "q long, query_id long, row long, vec_id long, score long")
     order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id", "row")
     return cells.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
