@@ -12,12 +12,13 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
 
-KEPT = 250_000
-_LONG, _SHORT = 9, 7
+KEPT = 400_000
+_LONG = 9
 _CROWDED = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
@@ -103,13 +104,22 @@ class Encoder:
             tail = self.bare["\n"] + self.bare[word] if word else b""
             self.spaced[p] = self.spaced[first] + (self.bare[stop] if stop else b"") + tail + (self.bare[end] if end else b"")
 
+    @staticmethod
+    def _shorten(kept: dict[str, bytes]) -> None:
+        """Drops the longer half or more: short words are those that come again."""
+        by = Counter(map(len, kept))
+        limit = room = 0
+        while room + by[limit] <= KEPT // 2 and limit < _LONG:
+            room += by[limit]
+            limit += 1
+        short = {p: ids for p, ids in kept.items() if len(p) < limit}
+        kept.clear()
+        kept.update(short)
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         if len(self.spaced) + len(self.bare) > KEPT:
             for kept in (self.spaced, self.bare):
-                short = {p: ids for p, ids in kept.items() if len(p) <= _SHORT}
-                kept.clear()
-                if len(short) < KEPT // 4:
-                    kept.update(short)
+                self._shorten(kept)
         if "\n" not in self.bare:
             self.bare["\n"] = self._ids(["\n"])[0]
         split = []
