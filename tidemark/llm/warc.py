@@ -41,8 +41,8 @@ def write_archive(pages: DataFrame, path: str, page_id: str = "page_id", url: st
     same = ["sha256", "size", "sha1"]
     first = F.max(F.struct(F.col("id").isNotNull(), F.col("id").alias("id"), (-F.col("__row")).alias("back")))
     groups = cut(facts.groupBy(*same).agg(first.alias("top")).select(*same, F.col("top.id").alias("top_id"), (-F.col("top.back")).alias("owner")), "warc-groups")
-    owners = groups.select(F.col("owner").alias("__row"), "sha256")
-    slim.select("__row", "payload").join(small_side(owners, groups.count()), "__row").select("sha256", "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
+    owners = groups.select(F.col("owner").alias("__row"))
+    slim.select("__row", "payload").join(small_side(owners, groups.count()), "__row", "left_semi").select(F.sha2("payload", 256).alias("sha256"), "payload").write.option("compression", "zstd").parquet(f"{path}/payloads")
     known = facts.join(groups, same)
     revisit = (F.col("size") >= revisit_bytes) & (F.col("__row") != F.col("owner"))
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
