@@ -45,8 +45,12 @@ def with_row(df: DataFrame, name: str = "__row") -> DataFrame:
     """Numbers the rows, so that equal rows stay apart.
 
     The number depends on the file split a row is read from, and so is the same whenever the same table
-    is read in one session. `df` has to be a table as read, or maps and filters of one.
+    is read in one session: the least number of splits, which else follows the cores at hand and so would change
+    with a lost executor, is fixed at the first call. `df` has to be a table as read, or maps and filters of one.
     """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
