@@ -1,6 +1,12 @@
 """Budgets over horizons, roll-ups of tiers, and footprints across systems."""
 
-from tidemark.plans.dialect import plan
+from pyspark.sql import functions as F
+
+from tidemark.plans.catalog import query
+from tidemark.plans.dialect import oracle, plan, run
+
+#: Entities of an object in a block: pairs are formed block by block, so that a hot object is no single task's.
+BLOCK = 256
 
 plan("budget_horizons", """
 WITH d AS (SELECT entity, day, SUM(w) AS n FROM {flow} f GROUP BY entity, day)
@@ -16,9 +22,24 @@ SELECT e.class, entity, ROUND(n / med, 6) AS ratio FROM e JOIN m ON e.class = m.
 
 plan("cross_system_footprint", "SELECT peer, COUNT(DISTINCT system) AS systems, COUNT(DISTINCT org) AS orgs, COUNT(DISTINCT entity) AS entities, CAST(SUM(w) AS BIGINT) AS mass FROM {flow} f GROUP BY peer")
 
-plan("adamic_adar_support", """
-WITH d AS (SELECT DISTINCT entity, object_id FROM {obs} o WHERE is_write = 1), f AS (SELECT object_id, COUNT(*) AS df FROM d GROUP BY object_id HAVING COUNT(*) BETWEEN 2 AND 60)
-SELECT a.entity AS e1, b.entity AS e2, COUNT(*) AS common, ROUND(SUM(1 / LN(df + 1e0)), 6) AS adamic_adar FROM d a JOIN d b ON a.object_id = b.object_id AND a.entity < b.entity JOIN f ON f.object_id = a.object_id GROUP BY a.entity, b.entity HAVING COUNT(*) >= 3""")
+_WRITTEN = "SELECT DISTINCT entity, object_id FROM {obs} o WHERE is_write = 1"
+
+
+@query("adamic_adar_support", oracle(f"""
+WITH d AS ({_WRITTEN}), f AS (SELECT object_id, COUNT(*) AS df FROM d GROUP BY object_id)
+SELECT a.entity AS e1, b.entity AS e2, COUNT(*) AS common, ROUND(SUM(1 / LN(df + 1e0)), 6) AS adamic_adar FROM d a JOIN d b ON a.object_id = b.object_id AND a.entity < b.entity JOIN f ON f.object_id = a.object_id GROUP BY a.entity, b.entity HAVING COUNT(*) >= 3"""))
+def adamic_adar_support(spark, sf_dir):
+    """Pairs of entities by the objects both write; each pair of an object's blocks is a key of the join."""
+    d = run(spark, sf_dir, _WRITTEN).where("entity IS NOT NULL AND object_id IS NOT NULL")
+    f = d.groupBy("object_id").agg(F.count("*").alias("df"))
+    cut = d.join(f, "object_id").withColumn("n", F.ceil(F.col("df") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("entity"), F.col("n")))
+    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    cut = cut.select("object_id", "entity", "df", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    return run(spark, sf_dir, """
+SELECT a.entity AS e1, b.entity AS e2, COUNT(*) AS common, ROUND(SUM(1 / LN(a.df + 1e0)), 6) AS adamic_adar
+FROM {cut} a JOIN {cut} b ON a.object_id = b.object_id AND a.low = b.low AND a.high = b.high AND a.entity < b.entity AND (a.low = a.high OR a.own <> b.own)
+GROUP BY a.entity, b.entity HAVING COUNT(*) >= 3""", cut=cut)
+
 
 plan("tier_rollup_entity_class_system_org", """
 SELECT system, org, class, CAST(SUM(w) AS BIGINT) AS mass, COUNT(DISTINCT entity) AS entities, CAST(GROUPING(system) + GROUPING(org) + GROUPING(class) AS BIGINT) AS level FROM {flow} f GROUP BY ROLLUP (system, org, class)""")
