@@ -38,3 +38,12 @@ def test_adamic_adar_keeps_hot_objects(spark, tmp_path):
     want = {k: (len(v), sum(v)) for k, v in common.items() if len(v) >= 3}
     assert len(got) == len(want) > 4000
     assert all(r.common == want[r.e1, r.e2][0] and abs(r.adamic_adar - want[r.e1, r.e2][1]) < 2e-6 for r in got)
+
+
+def test_renames_of_any_two_values(spark, tmp_path):
+    """Values that end on day 5 and values that begin one, two or three days later, of all ids."""
+    begins = {o: 5 + o % 4 for o in range(40, 80)}
+    rows = [(d, 1, "signup", o) for o in range(10) for d in (4, 5)] + [(d, 1, "signup", o) for o, b in begins.items() for d in (b, 9)]
+    got = workload.QUERIES["value_history_rename"](spark, events(spark, tmp_path, rows + [(6, 1, "signup", 99)])).collect()
+    want = {(a, b, day - 5) for a in range(10) for b, day in begins.items() if day in (6, 7)}
+    assert sorted(map(tuple, got)) == sorted(want)

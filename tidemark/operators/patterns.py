@@ -25,8 +25,9 @@ SELECT x, y, c, CAST(n AS BIGINT) AS n, ROUND((c + 0.5e0) / (n + 1), 6) AS bound
 plan("reverse_binding", "SELECT p_type AS y, COUNT(DISTINCT p_brand) AS brands, COUNT(*) AS parts FROM {part} p GROUP BY p_type HAVING COUNT(*) >= 2")
 
 plan("value_history_rename", """
-WITH f AS (SELECT object_id, MIN(day) AS first_day, MAX(day) AS last_day, COUNT(*) AS n FROM {obs} o WHERE token = 'signup' GROUP BY object_id)
-SELECT a.object_id AS old_value, b.object_id AS new_value, b.first_day - a.last_day AS gap FROM f a JOIN f b ON b.first_day - a.last_day BETWEEN 1 AND 2 AND a.object_id <> b.object_id AND a.n >= 2 AND b.n >= 2 AND a.object_id % 25 = b.object_id % 25""")
+WITH f AS (SELECT object_id, MIN(day) AS first_day, MAX(day) AS last_day FROM {obs} o WHERE token = 'signup' GROUP BY object_id HAVING COUNT(*) >= 2),
+a AS (SELECT object_id, last_day + 1 AS next_day, 1 AS gap FROM f UNION ALL SELECT object_id, last_day + 2 AS next_day, 2 AS gap FROM f)
+SELECT a.object_id AS old_value, b.object_id AS new_value, CAST(gap AS BIGINT) AS gap FROM a JOIN f b ON b.first_day = a.next_day""")
 
 plan("numeric_bands", "SELECT token, COUNT(*) AS n, ROUND(PERCENTILE(up, 0.01), 6) AS q01, ROUND(PERCENTILE(up, 0.5), 6) AS q50, ROUND(PERCENTILE(up, 0.99), 6) AS q99 FROM {obs} o GROUP BY token")
 
