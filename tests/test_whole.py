@@ -47,3 +47,26 @@ def test_renames_of_any_two_values(spark, tmp_path):
     got = workload.QUERIES["value_history_rename"](spark, events(spark, tmp_path, rows + [(6, 1, "signup", 99)])).collect()
     want = {(a, b, day - 5) for a in range(10) for b, day in begins.items() if day in (6, 7)}
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_modularity_over_all_peers(spark, small):
+    """Against the edges themselves, one a pair of entities and shared peer."""
+    from tidemark.plans.dialect import run
+
+    at, label = defaultdict(set), {}
+    for r in run(spark, small, "SELECT DISTINCT class, entity, peer FROM {flow} f").collect():
+        at[r.peer].add(r.entity)
+        label[r.entity] = r["class"]
+    m, inside, degree = 0, Counter(), Counter()
+    for of in at.values():
+        for i, a in enumerate(own := sorted(of)):
+            for b in own[i + 1 :]:
+                m += 1
+                inside[label[a]] += label[a] == label[b]
+                degree.update((label[a], label[b]))
+    parts = {g: inside[g] / m - (d / (2 * m)) ** 2 for g, d in degree.items()}
+    got = {r.g: r for r in workload.QUERIES["modularity_of_classes"](spark, small).collect()}
+    assert len(at) > 4 and set(got) == set(parts)
+    for g, r in got.items():
+        assert (r.inside, r.degree) == (inside[g], degree[g]) and abs(r.share - inside[g] / m) < 2e-6
+        assert abs(r.part - parts[g]) < 2e-6 and abs(r.modularity - sum(parts.values())) < 2e-6

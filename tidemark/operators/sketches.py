@@ -80,7 +80,9 @@ WITH n AS (SELECT vec_id, SQRT(SUM(x * x)) AS norm FROM {vec} v GROUP BY vec_id)
 k AS (SELECT q, c, dot / (x.norm * y.norm) AS cosine, ROW_NUMBER() OVER (PARTITION BY q ORDER BY ROUND(dot / (x.norm * y.norm), 9) DESC, c) AS k FROM s JOIN n x ON x.vec_id = q JOIN n y ON y.vec_id = c)
 SELECT q, CAST(k AS BIGINT) AS k, c, ROUND(cosine, 6) AS cosine FROM k WHERE k <= 3""")
 
+# An edge for each peer that two entities share: C(n, 2) inside a class of n at a peer, and n * (all - 1) ends.
 plan("modularity_of_classes", """
-WITH e AS (SELECT a.class AS g, a.entity AS x, b.entity AS y, CASE WHEN a.class = b.class THEN 1 ELSE 0 END AS same FROM (SELECT DISTINCT class, entity, peer FROM {flow} f WHERE peer < 4) a JOIN (SELECT DISTINCT class, entity, peer FROM {flow} f WHERE peer < 4) b ON a.peer = b.peer AND a.entity < b.entity),
-m AS (SELECT COUNT(*) AS m FROM e), i AS (SELECT g, COUNT(*) AS inside FROM e WHERE same = 1 GROUP BY g)
-SELECT g, inside, ROUND(CAST(inside AS DOUBLE) / m, 6) AS share FROM i CROSS JOIN m""")
+WITH c AS (SELECT peer, class AS g, CAST(COUNT(DISTINCT entity) AS DOUBLE) AS n FROM {flow} f WHERE peer IS NOT NULL GROUP BY peer, class), p AS (SELECT peer, SUM(n) AS s FROM c GROUP BY peer),
+i AS (SELECT g, SUM(n * (n - 1) / 2) AS inside, SUM(n * (s - 1)) AS degree FROM c JOIN p ON c.peer = p.peer GROUP BY g), m AS (SELECT SUM(degree) / 2 AS m FROM i),
+q AS (SELECT g, CAST(inside AS BIGINT) AS inside, CAST(degree AS BIGINT) AS degree, inside / m AS share, inside / m - POWER(degree / (2 * m), 2) AS part FROM i CROSS JOIN m WHERE m > 0)
+SELECT g, inside, degree, ROUND(share, 6) AS share, ROUND(part, 6) AS part, ROUND(SUM(part) OVER (), 6) AS modularity FROM q""")
