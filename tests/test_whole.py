@@ -70,3 +70,17 @@ def test_modularity_over_all_peers(spark, small):
     for g, r in got.items():
         assert (r.inside, r.degree) == (inside[g], degree[g]) and abs(r.share - inside[g] / m) < 2e-6
         assert abs(r.part - parts[g]) < 2e-6 and abs(r.modularity - sum(parts.values())) < 2e-6
+
+
+def test_shapes_of_whole_values(spark, tmp_path):
+    """Values that differ in shape after their first 60 or 40 characters only."""
+    start = "word " * 20
+    texts = [(1, start + "end"), (2, start + "END 7"), (3, start + "77"), (4, start + "ends")]
+    url = "https://host.org/" + "path/" * 10
+    pages = [(1, url + "a"), (2, url + "1"), (3, url + "b?x=2"), (4, url + "22")]
+    path = folder(spark, tmp_path, benchmark=(texts, "item_id long, text string"), pages=(pages, "page_id long, url string"))
+    got = {r.shape: (r.n, r.example) for r in workload.QUERIES["text_shape_skeleton"](spark, path).collect()}
+    assert got == {"a " * 20 + "a": (2, 1), "a " * 20 + "A 9": (1, 2), "a " * 20 + "9": (1, 3)}
+    got = {r.shape: r.n for r in workload.QUERIES["shape_grammar_counts"](spark, path).collect()}
+    base = "a://a.a/" + "a/" * 10
+    assert got == {base + "a": 1, base + "9": 2, base + "a?a=9": 1}

@@ -45,7 +45,7 @@ plan("negative_statements_anti", """
 WITH e AS (SELECT DISTINCT entity FROM {obs} o), v AS (SELECT DISTINCT token FROM {obs} o) SELECT e.entity, v.token FROM e CROSS JOIN v LEFT ANTI JOIN (SELECT DISTINCT entity, token FROM {obs} o) s ON s.entity = e.entity AND s.token = v.token""".replace("LEFT ANTI JOIN (SELECT DISTINCT entity, token FROM {obs} o) s ON s.entity = e.entity AND s.token = v.token", "WHERE NOT EXISTS (SELECT 1 FROM {obs} s WHERE s.entity = e.entity AND s.token = v.token)"))
 
 plan("shape_grammar_counts", """
-WITH s AS (SELECT doc_id, GSUB(GSUB(SUBSTR(url_like, 1, 40), '[0-9]+', '9'), '[a-z]+', 'a') AS shape FROM (SELECT page_id AS doc_id, LOWER(url) AS url_like FROM {pages} p) u)
+WITH s AS (SELECT doc_id, GSUB(GSUB(url_like, '[0-9]+', '9'), '[a-z]+', 'a') AS shape FROM (SELECT page_id AS doc_id, LOWER(url) AS url_like FROM {pages} p) u)
 SELECT shape, COUNT(*) AS n FROM s GROUP BY shape""")
 
 plan("popular_objects", "SELECT object_id, COUNT(*) AS n, COUNT(DISTINCT entity) AS entities, ROUND(AVG(up), 6) AS mean_up FROM {obs} o GROUP BY object_id HAVING COUNT(*) >= 5")
