@@ -84,3 +84,17 @@ def test_shapes_of_whole_values(spark, tmp_path):
     got = {r.shape: r.n for r in workload.QUERIES["shape_grammar_counts"](spark, path).collect()}
     base = "a://a.a/" + "a/" * 10
     assert got == {base + "a": 1, base + "9": 2, base + "a?a=9": 1}
+
+
+def test_covariance_of_all_dimensions(spark, small, tmp_path):
+    import numpy as np
+
+    x = np.array([r.embedding for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()], float)
+    want = np.cov(x.T, bias=True)
+    got = workload.QUERIES["cov_matrix_long"](spark, small).collect()
+    assert sorted((r.i, r.j) for r in got) == [(i, j) for i in range(64) for j in range(i, 64)]
+    assert all(abs(r["cov"] - want[r.i, r.j]) < 2e-8 for r in got)
+    rows = [(1, 0, [1.0, 2.0]), (2, 0, [3.0, None]), (3, 0, None), (4, 0, [2.0, 6.0]), (5, 0, [])]
+    path = folder(spark, tmp_path, embeddings=(rows, "vec_id long, label int, embedding array<float>"))
+    got = {(r.i, r.j): r["cov"] for r in workload.QUERIES["cov_matrix_long"](spark, path).collect()}
+    assert got == {(0, 0): round(2 / 3, 8), (0, 1): 1.0, (1, 1): 4.0}
