@@ -78,6 +78,19 @@ def test_entropy_and_allow_list(read):
     assert found == {0: 1, 1: 0, 2: 0, 3: 0}
 
 
+def test_allow_list_excuses_windows_only(read):
+    """Placeholders and repeats inside longer candidates, which hold secrets beside them."""
+    key = "b3BlbnNzaC1rZXktdjEAAAAABG5vbmUAAAAEbm9uZQAAAAAAAAABAAAAMwAAAAtzc2gtZWQyNTUxOQ"
+    token = "T0q9XzR4vB7mLk2PwYc8JdHs"
+    held = [key, "/hooks/your-team/" + token, token + "/example/" + "x" * 12, token + "z" * 9, token[:19] + "w" * 8 + token[:19], "zzzzzzzz" + token]
+    free = ["wJalrXUtnEXAMPLE7MDENGbPxRfiCYzz9", "Z" * 24 + "b1", "your-your-your-dummy-x1Y2", "/path/to/your-team/joined-words/12"]
+    rows = [(k, f"at {v} end") for k, v in enumerate(held + free)]
+    found = {r.doc_id: [s.value for s in r["__spans"]] for r in secret_scan.scan(read(rows)).collect()}
+    assert [found[k] for k in range(len(rows))] == [[v] for v in held] + [[] for _ in free]
+    text = {r.doc_id: r.text for r in secret_scan.mask_secrets(read(rows)).collect()}
+    assert all(text[k] == "at [secret] end" for k in range(len(held)))
+
+
 def test_masking(read):
     rows = [(1, "x password=abcdef123 y", None, None, 22), (2, None, None, None, 0), (3, "clean", None, None, 5), (4, "token=deadbeefdeadbeefdeadbeefdeadbeef😀z", None, None, 40)]
     df = read(rows)

@@ -4,7 +4,8 @@ Three patterns find assignments, access keys and long hexadecimal runs. Beside t
 characters that keys are made of is a candidate: a window of `WINDOW` characters slides along it, the counts of
 its characters change by one in and one out, and with them the sum of n * log2(n), from which the window's
 Shannon entropy follows. A candidate whose largest entropy reaches the threshold of its character class is a
-secret, unless the allow-list names it or a pattern's match covers it.
+secret, unless the allow-list names the whole of it or a pattern's match covers it. Windows that touch a placeholder
+word or hold a character repeated eight times don't count; the rest of their candidate does.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ WINDOW = 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}+"
 #: Bits at least, by class: hexadecimal digits only, else the characters of base 64.
 HEX_BITS, BASE64_BITS = 3.0, 3.7
-#: Candidates that are no secrets: letters or digits alone, UUIDs, paths and joined words, placeholders, one character repeated.
+#: Candidates that are no secrets as a whole: letters or digits alone, UUIDs, paths and joined words.
 ALLOWED = (
     r"^[A-Za-z+/_=-]*$",
     r"^[0-9+/_=-]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^(?:[a-z]{2,}|[A-Z]{2,}|[A-Z][a-z]+|[0-9]{1,4})?(?:[/_=+-]+(?:[a-z]{2,}|[A-Z]{2,}|[A-Z][a-z]+|[0-9]{1,4}))+[/_=+-]*$",
-    r"(?i)example|placeholder|changeme|dummy|redacted|your[_-]?",
-    r"(.)\1{7}",
 )
+#: What excuses the windows that touch it, and a repeat that excuses the windows that hold it.
+PLACEHOLDER = r"(?i)example|placeholder|changeme|dummy|redacted|your[_-]?"
+REPEAT = r"(.)\1{7,}+"
 MASK = "[secret]"
 
 
@@ -61,12 +63,21 @@ def window_entropy(value: Column, window: int = WINDOW) -> Column:
     return F.when(F.char_length(value) >= window, _let(codes, step))
 
 
+def _judged(value: Column) -> Column:
+    """The parts of a candidate whose windows count: cut at placeholders, and amid repeats so that seven are left at either side."""
+    return F.split(F.regexp_replace(F.regexp_replace(value, PLACEHOLDER, " "), REPEAT, "$1" * 7 + " " + "$1" * 7), " ")
+
+
 def _suspicious(value: Column) -> Column:
     allowed = F.lit(False)
     for pattern in ALLOWED:
         allowed = allowed | F.rlike(value, F.lit(pattern))
-    bits = F.when(F.rlike(value, F.lit("^[0-9a-fA-F]+$")), HEX_BITS).otherwise(BASE64_BITS)
-    return ~allowed & (window_entropy(value) >= bits)
+
+    def high(part: Column) -> Column:
+        bits = F.when(F.rlike(part, F.lit("^[0-9a-fA-F]+$")), HEX_BITS).otherwise(BASE64_BITS)
+        return F.coalesce(window_entropy(part) >= bits, F.lit(False))
+
+    return ~allowed & F.exists(_judged(value), high)
 
 
 def base_spans(text: Column) -> Column:
