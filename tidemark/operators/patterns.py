@@ -1,4 +1,4 @@
-"""Pattern mining: attribute statistics, information gain, dependencies, bands, closed sets, prefixes, pairs of texts."""
+"""Pattern mining: attribute statistics, information gain, dependencies, bands, closed sets, prefixes, shapes."""
 
 from tidemark.plans.dialect import plan
 
