@@ -66,6 +66,22 @@ def test_toxicity_learns_pairs():
     assert ((alone.scores([f.tolist() for f in found[900:]]) >= 0.3) == np.array(labels[900:])).mean() < right.mean()
 
 
+def test_toxicity_fits_pairs_as_in_production(read):
+    """The same through fit(), with its choice of terms and its factors and steps; judged on held-out rows."""
+    assert (toxicity.FACTORS, toxicity.STEPS) == (8, 250)
+    rng = random.Random(5)
+    rows, labels = [], []
+    for k in range(1600):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((k, " ".join([f"w{rng.randrange(5)}x"] + ["insult"] * a + ["group"] * b)))
+        labels.append((k, 1, int(a and b)))
+    docs, labelled = read(rows), read(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labelled)
+    assert model.factors.shape[1] == 8
+    apart = [r for r in toxicity.score(docs, model).collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(apart) > 300 and np.mean([(r.score >= toxicity.THRESHOLD) == labels[r.doc_id][2] for r in apart]) > 0.98
+
+
 def test_toxicity_decisions(spark, read):
     rng = random.Random(3)
     words = [f"calm{k}" for k in "abcdefgh"]

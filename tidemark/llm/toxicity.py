@@ -25,10 +25,10 @@ from tidemark.llm.shared import cut, tidy
 BITS = 30
 SAMPLE = 24_000
 TERMS = 4096
-FACTORS = 4
+FACTORS = 8
 CHI2 = 15.0
 THRESHOLD = 0.3
-STEPS = 120
+STEPS = 250
 _STARTS = (4, 5)
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _KNOWN = 150_000
