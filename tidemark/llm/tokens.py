@@ -19,13 +19,19 @@ import numpy as np
 
 KEPT = 400_000
 _LONG = 9
-_CROWDED = re.compile(r" \s|\s ")
+#: All white space but the space itself, as regular expressions have it.
+_OTHER_SPACE = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 _ALPHA = re.compile(_LETTERS).fullmatch
 _WORD = re.compile(f"({_LETTERS})([.,]?)(?:\n({_LETTERS})([.,]?))?")
 
 
+def _crowded(text: str) -> bool:
+    """Whether a space has white space beside it."""
+    return "  " in text or any(c in text and (f"{c} " in text or f" {c}" in text) for c in _OTHER_SPACE[: 9 if text.isascii() else None])
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer's file is."""
     import public_tokenizers
@@ -125,7 +131,7 @@ class Encoder:
         split = []
         for text in texts:
             text = text or ""
-            if _CROWDED.search(text) or text[:1].isspace():
+            if _crowded(text) or text[:1].isspace():
                 head, *parts = _CUT.split(text)
             else:
                 head, *parts = text.split(" ")
@@ -136,10 +142,14 @@ class Encoder:
         known = self.spaced
         if new := set().union(*[parts for _, parts in split]).difference(known):
             self._learn(list(new))
-        out = [h + b"".join(map(known.__getitem__, parts)) for h, (_, parts) in zip(self._ids([h for h, _ in split]), split)]
-        for p in new:
-            if len(p) > _LONG:
-                known.pop(p, None)
+        opening = self.bare
+        if heads := {h for h, _ in split}.difference(opening):
+            opening.update(zip(heads, self._ids(list(heads))))
+        out = [opening[h] + b"".join(map(known.__getitem__, parts)) for h, parts in split]
+        for kept, fresh in ((known, new), (opening, heads)):
+            for p in fresh:
+                if len(p) > _LONG:
+                    kept.pop(p, None)
         return out
 
 
