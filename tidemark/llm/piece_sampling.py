@@ -100,9 +100,20 @@ class Pieces:
 
     def ids(self, pieces: np.ndarray) -> np.ndarray:
         """Pieces with characters that are no piece, kept as -1 - code point, spelt out."""
-        if not len(pieces) or pieces.min() >= 0:
+        odd = np.flatnonzero(pieces < 0)
+        if not len(odd):
             return pieces
-        return np.array([x for p in pieces.tolist() for x in ((p,) if p >= 0 else self.spelt(-1 - p))], np.int64)
+        kinds, which = np.unique(pieces[odd], return_inverse=True)
+        spelt = [self.spelt(-1 - p) for p in kinds.tolist()]
+        size = np.ones(len(pieces), np.int64)
+        size[odd] = np.array([len(s) for s in spelt])[which]
+        out = np.repeat(pieces, size)
+        first = (np.cumsum(size) - size)[odd]
+        for k, s in enumerate(spelt):
+            at = first[which == k]
+            for place, one in enumerate(s):
+                out[at + place] = one
+        return out
 
 
 class Lattices:
