@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 
-KEPT = 400_000
+KEPT = 500_000
 _LONG = 9
 #: All white space but the space itself, as regular expressions have it.
 _OTHER_SPACE = [chr(c) for c in (*range(9, 14), *range(28, 32), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
