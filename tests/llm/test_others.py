@@ -31,15 +31,26 @@ def test_top_k_against_brute_force(read):
     assert topk.top_k(read([(1, [0.5]), (2, [0.25])], VECTORS), F.lit(True)).count() == 2
 
 
-def test_bounds_stop_early_and_right():
+@pytest.mark.parametrize("spread", ["sphere", "falling"])
+def test_bounds_stop_early_and_right(spread):
+    """Most queries end before the last list, after less than the whole product, with all ties of the k-th."""
     rng = np.random.default_rng(2)
-    rows = np.floor(256 * rng.normal(0, 0.3, (3000, 8)) * np.array([4, 1, 1, 0.2, 0.2, 0.1, 0.1, 0.1])).astype(np.int64)
-    asked = rows[:40]
-    for (places, scores), q, i in zip(topk.top_of_block(asked, rows, np.arange(40), 5), asked, range(40)):
-        every = rows @ q
+    rows = rng.normal(0, 1, (4000, 64)) * (np.linspace(1, 0.02, 64) if spread == "falling" else 1)
+    rows = np.floor(256 * rows / np.linalg.norm(rows, axis=1)[:, None]).astype(np.int64)
+    rows[100:110] = rows[0]  # ties
+    own, seen = np.arange(0, 4000, 80), []
+    for (places, scores), i in zip(topk.top_of_block(rows[own], rows, own, 5, seen=seen), own):
+        every = rows @ rows[i]
         every[i] = np.iinfo(np.int64).min
-        least = np.sort(every)[-5]
-        assert sorted(places) == np.flatnonzero(every >= least).tolist() and (every[places] == scores).all()
+        assert sorted(places) == np.flatnonzero(every >= np.sort(every)[-5]).tolist() and (every[places] == scores).all()
+    read, early, resolved = map(np.array, zip(*seen))
+    assert early.mean() > 0.9 and (read / rows.size).mean() < 0.75 and np.median(resolved) <= 5 * topk.LEFT
+
+
+def test_scores_beyond_a_long_are_its_ends():
+    rows = np.array([[2**62, 5], [-(2**63), 1], [3, 2**61]])
+    [(places, scores)] = topk.top_of_block(rows[:1], rows, np.array([0]), 2)
+    assert dict(zip(places.tolist(), scores.tolist())) == {1: -(2**63), 2: 2**63 - 1}
 
 
 def test_huge_components_stay_exact():

@@ -1,12 +1,20 @@
 """Exact top-k inner products by aggregation of sorted lists without random access.
 
-Each dimension is a list of the candidates by their component; for a query it is read from the end that scores
-most. After `depth` entries of every list a candidate has a lower and an upper bound: what was read of it, plus the
-worst, or the frontier's, contribution of each list where it hasn't come up. Reading stops for a query when all
-but a few candidates have upper bounds under the k-th largest lower bound; those few are resolved exactly.
+Each dimension is a list of the candidates by their component, and each candidate carries its norm. A query reads
+lists in the order of its own largest components, each in sorted order from the end that scores most, down to a
+frontier at `DEPTH` of its length. Of a candidate the entries seen so far give a lower and an upper bound:
+
+    seen in a list          its product
+    below the frontier      at most the frontier's product, at least that of the list's far end
+    in the lists not read   at most what their heads would give, and, by Cauchy-Schwarz, no more than the query's
+                            rest times the norm that the entries seen leave; at least minus that
+
+Candidates whose upper bound is under the k-th largest lower bound are outsiders and are read no further. Reading
+stops for a query when `LEFT` candidates for each of k are left, or all lists are read; the scores of those left are
+then resolved exactly.
 
 Candidates are dealt into blocks and queries into batches, and a task reads the lists of one block for one
-batch; per query k rows of each block go on to the final ranking. Bounds of many queries are matrix products.
+batch; per query k rows of each block, and the ties of the k-th, go on to the final ranking.
 """
 
 from __future__ import annotations
@@ -22,64 +30,84 @@ from tidemark.llm.shared import with_row
 BLOCK = 8192
 BATCH = 1024
 SCALE = 256
-#: Shares of the lists after which bounds are compared, and how many candidates for each of k may be left to resolve.
-DEPTHS = (1 / 16, 1 / 4, 1 / 2)
-LEFT = 8
-
-
-def top_of_block(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, depths=DEPTHS, left: int = LEFT):
+#: How much of a list is read before its frontier bounds the rest; shares of the lists after which bounds are
+#: compared; how many candidates for each of k may be left to resolve.
+DEPTH = 15 / 16
+ROUNDS = (1 / 2, 5 / 8, 3 / 4, 7 / 8, 15 / 16)
+LEFT = 16
+_LONG = (-(1 << 63), (1 << 63) - 1)
+
+
+class Lists:
+    """The sorted lists of a block of candidates, in both directions: 0 for queries above 0, 1 for those below."""
+
+    def __init__(self, rows: np.ndarray, kind, depth: float):
+        column = np.ascontiguousarray(rows.T.astype(kind))
+        ordered = np.sort(column, axis=1)
+        n = column.shape[1]
+        far = min(n - 1, int(n * (1 - depth)))
+        self.head = np.stack([ordered[:, -1], ordered[:, 0]])
+        frontier, end = (ordered[:, far], ordered[:, n - 1 - far]), (ordered[:, 0], ordered[:, -1])
+        seen = np.stack([column >= frontier[0][:, None], column <= frontier[1][:, None]])
+        self.most = np.stack([np.maximum(column, frontier[0][:, None]), np.minimum(column, frontier[1][:, None])])
+        self.least = np.stack([np.where(s, column, e[:, None]) for s, e in zip(seen, end)])
+        self.square = np.where(seen, column.astype(float) ** 2, 0.0)
+        self.norm = (column.astype(float) ** 2).sum(0)
+
+    def survivors(self, query: np.ndarray, own: int, k: int, rounds, left: int) -> tuple[np.ndarray, int, bool]:
+        """Places that may hold the k best, entries read, and whether reading stopped before the last list."""
+        n, d = len(self.norm), len(query)
+        order = np.argsort(-np.abs(query), kind="stable")
+        way = (query < 0).astype(int)
+        heads = (query * self.head[way, np.arange(d)]).astype(float)
+        alive = np.arange(n)
+        alive = alive[alive != own]
+        high, low, seen = np.zeros(len(alive)), np.zeros(len(alive)), np.zeros(len(alive))
+        read, at = 0, 0
+        stops = [max(1, round(d * r)) for r in rounds]
+        for stop in [*stops, d]:
+            lists = order[at:stop]
+            if len(alive) <= left * k or not len(lists):
+                break
+            of = lambda part: part[way[lists], lists][:, alive] if 2 * len(alive) > n else part[way[lists][:, None], lists[:, None], alive]  # noqa: B023, E731
+            high += query[lists] @ of(self.most)
+            low += query[lists] @ of(self.least)
+            seen += of(self.square).sum(0)
+            read, at = read + len(lists) * len(alive), stop
+            rest = order[at:]
+            reach = np.sqrt(float((query[rest].astype(float) ** 2).sum()) * np.maximum(self.norm[alive] - seen, 0)) * (1 + 1e-9)
+            upper = high + np.minimum(reach, heads[rest].sum())
+            lower = low - reach
+            least = np.partition(lower, len(alive) - k)[len(alive) - k] if len(alive) > k else -np.inf
+            keep = upper >= least - 0.5  # scores are whole numbers: half of one covers rounding
+            alive, high, low, seen = alive[keep], high[keep], low[keep], seen[keep]
+        return alive, read, at < d
+
+
+def top_of_block(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int, rounds=ROUNDS, left: int = LEFT, depth: float = DEPTH, seen: list | None = None):
     """For each query: places of candidates that hold its k best scores and all ties of the k-th, and the scores.
 
-    queries and rows are integers; own[i] is the place of query i among the rows, or -1.
+    queries and rows are integers; own[i] is the place of query i among the rows, or -1. `seen` gets (entries
+    read, stopped before the last list, candidates resolved) of each query. Numbers beyond what a double holds exactly
+    are resolved without bounds; scores beyond the range of a long are its ends.
     """
     n, d = rows.shape
-    bound = max(1, int(np.abs(queries).max(initial=0))) * max(1, int(np.abs(rows).max(initial=0))) * max(1, d)
-    kind = np.float32 if bound < 1 << 24 else np.float64 if bound < 1 << 53 else None
-    out = [None] * len(queries)
-    active = np.arange(len(queries))
-    if kind is not None and n > left * k:
-        order = np.argsort(rows, axis=0, kind="stable")
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(n)[:, None], 0)
-        ordered = np.take_along_axis(rows, order, 0)
-        plus, minus = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-        for share in depths:
-            depth = max(1, int(n * share))
-            top, bottom = rank >= n - depth, rank < depth
-            low = [np.where(top, rows, ordered[0]).astype(kind).T, np.where(bottom, rows, ordered[-1]).astype(kind).T]
-            high = [np.where(top, rows, ordered[n - depth]).astype(kind).T, np.where(bottom, rows, ordered[depth - 1]).astype(kind).T]
-            going = []
-            for at in range(0, len(active), 128):
-                some = active[at : at + 128]
-                lower = plus[some] @ low[0] + minus[some] @ low[1]
-                mine = np.flatnonzero(own[some] >= 0)
-                lower[mine, own[some][mine]] = -np.inf
-                least = np.partition(lower, n - k, axis=1)[:, n - k]
-                upper = plus[some] @ high[0] + minus[some] @ high[1]
-                upper[mine, own[some][mine]] = -np.inf
-                keep = upper >= least[:, None]
-                done = keep.sum(1) <= left * k
-                for j in np.flatnonzero(done):
-                    out[some[j]] = np.flatnonzero(keep[j])
-                going.append(some[~done])
-            active = np.concatenate(going) if going else active[:0]
-            if not len(active):
-                break
+    bound = max(1, int(np.abs(queries.astype(object)).max(initial=0))) * max(1, int(np.abs(rows.astype(object)).max(initial=0))) * max(1, d)
+    lists = Lists(rows, np.float32 if bound < 1 << 24 else np.float64, depth) if n and d and bound < 1 << 50 else None
+    whole = rows if bound < 1 << 62 else rows.astype(object)
     result = []
-    whole = rows.astype(kind or object).T
-    for at in range(0, len(active), 128):  # lists read to their ends: both bounds are the score
-        some = active[at : at + 128]
-        scores = queries[some].astype(kind or object) @ whole
-        for j, q in enumerate(some):
-            out[q] = (np.arange(n), scores[j])
-    for q, found in enumerate(out):
-        places, scores = found if isinstance(found, tuple) else (found, (queries[q].astype(np.int64) @ rows[found].T.astype(np.int64)))
-        keep = places != own[q]
-        places, scores = places[keep], scores[keep]
+    for q, mine in zip(queries, own):
+        if lists is None:
+            places, read, early = np.flatnonzero(np.arange(n) != mine), n * d, False
+        else:
+            places, read, early = lists.survivors(q, int(mine), k, rounds, left)
+        if seen is not None:
+            seen.append((read, early, len(places)))
+        scores = whole[places] @ (q if whole is rows else q.astype(object))
         if len(places) > k:
             keep = scores >= np.sort(scores)[-k]
             places, scores = places[keep], scores[keep]
-        result.append((places, np.array([int(s) for s in scores], np.int64)))
+        result.append((places, np.array([min(max(int(s), _LONG[0]), _LONG[1]) for s in scores], np.int64)))
     return result
 
 
@@ -96,7 +124,8 @@ def top_k(vectors: DataFrame, chosen, k: int = 5, vec_id: str = "vec_id", vector
     on columns of `vectors`, picks, with all rows but itself; ties go to the smaller id, then the row read first.
 
     Components become floor(scale * x). Rows with a null id or vector, or a component that is null or not
-    finite, take no part; a shorter vector counts as ended with zeros. Repeated rows are rows of their own, so
+    finite, take no part; a shorter vector counts as ended with zeros; a component beyond the range of a long when
+    scaled counts as its nearest end. Repeated rows are rows of their own, so
     that a query can find its copy. Other columns are not read but by `chosen`; no rows give no rows.
     """
     finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
