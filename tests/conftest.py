@@ -6,6 +6,8 @@ import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
 sys.path.insert(0, ROOT)
+# One thread for matrices, set before NumPy is there: its thread pool may not outlive the fork that starts the JVM.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
 os.environ["PYTHONPATH"] = os.pathsep.join([ROOT, os.environ.get("PYTHONPATH", "")])
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from pathlib import Path
@@ -40,9 +41,13 @@ def share_package(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (`spark.checkpoint.dir`); where that is unset, a temporary one."""
+    """A new path in the folder that driver and executors share (`spark.checkpoint.dir`).
+
+    Where that is unset, a local session gets a temporary folder and a cluster an error: its executors couldn't read one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
