@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 
@@ -24,10 +25,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the cluster shares (`spark.checkpoint.dir`).
 
-    Only where that setting is empty, as in a test session, a temporary folder takes its place.
+    Only where that setting is empty, as in a test session, a temporary folder takes its place; without it a cluster,
+    whose executors couldn't read such a folder, gets an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*)?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="tidemark-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
