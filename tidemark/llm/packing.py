@@ -25,8 +25,7 @@ from tidemark.llm.tokens import encoder, vocabulary
 
 CAPACITY = 1024
 END_ID = 0
-PIVOTS = 600
-GAP = 1e-3
+_FRESH = 256  # pivots after which the basis is inverted anew
 
 
 def padded(total: int, capacity: int = CAPACITY) -> int:
@@ -64,11 +63,12 @@ def _columns(lengths, duals, cost, capacity, most=24):
     return out
 
 
-def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int = PIVOTS, gap: float = GAP) -> list[tuple[dict[int, int], int]]:
+def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int | None = None, gap: float = 0.0) -> list[tuple[dict[int, int], int]]:
     """Patterns ({length: copies}, times) that use up the histogram exactly.
 
-    The linear program stops when no pattern improves it, when padding is under `gap` of all ids, or after
-    `pivots` pivots; what it says then is still a feasible plan, only with a little more padding.
+    The linear program ends when no pattern improves it, nothing is padded, or its value hasn't fallen for as many
+    rounds of pricing as there are lengths. `gap` (a share of all ids that padding may take) and `pivots` end it
+    sooner; what it says then is still a feasible plan, only with a little more padding.
     """
     histogram = {int(k): int(v) for k, v in histogram.items() if v > 0}
     if not histogram:
@@ -93,16 +93,25 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int =
         basis += [({place[k]: 1}, float(cost[k])) for k in ended[1:]]
         x += [0.0] * len(ended[1:])
     x = np.array(x)
-    matrix = np.zeros((m, m))
-    for j, (column, _) in enumerate(basis):
-        matrix[list(column), j] = list(column.values())
-    inverse = np.linalg.inv(matrix)
+    demand = np.array([float(histogram[int(k)]) for k in lengths])
+
+    def inverted() -> np.ndarray:
+        matrix = np.zeros((m, m))
+        for j, (column, _) in enumerate(basis):
+            matrix[list(column), j] = list(column.values())
+        return np.linalg.inv(matrix)
+
+    inverse = inverted()
     duals = np.array([c for _, c in basis]) @ inverse
-    done = 0
-    while done < pivots and sum(c * v for (_, c), v in zip(basis, x)) > (1 + gap) * bound:
-        fresh = _columns(lengths, duals, cost, capacity)
+    done, since, stalled, best = 0, 0, 0, np.inf
+    while pivots is None or done < pivots:
+        value = sum(c * v for (_, c), v in zip(basis, x))
+        stalled = 0 if value < best * (1 - 1e-12) else stalled + 1
+        best = min(best, value)
+        if value <= (1 + max(gap, 1e-12)) * bound or stalled > m:
+            break
         moved = False
-        for column, price in fresh:
+        for column, price in _columns(lengths, duals, cost, capacity):
             at, copies = list(column), np.array(list(column.values()), float)
             reduced = price - duals[at] @ copies
             if reduced >= -1e-7 * capacity:
@@ -120,9 +129,13 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int =
             inverse[row] = pivot
             basis[row] = (column, price)
             duals += reduced * pivot
-            done, moved = done + 1, True
+            done, since, moved = done + 1, since + 1, True
         if not moved:
             break
+        if since >= _FRESH:
+            inverse, since = inverted(), 0
+            duals = np.array([c for _, c in basis]) @ inverse
+            x = np.maximum(inverse @ demand, 0)
     out, left = [], dict(histogram)
     for (column, _), times in sorted(zip(basis, x), key=lambda b: -b[1]):
         pattern = {int(lengths[k]): c for k, c in column.items()}
