@@ -93,6 +93,21 @@ def test_toxicity_fits_pairs_as_in_production(read):
     assert len(apart) > 300 and np.mean([(r.score >= toxicity.THRESHOLD) == labels[r.doc_id][2] for r in apart]) > 0.98
 
 
+def test_scores_are_the_sum_over_pairs():
+    rng = np.random.default_rng(0)
+    model = toxicity.Model(-0.3, np.arange(9, dtype=np.uint32), rng.normal(size=9), rng.normal(size=(9, 4)))
+    found = [[], [2], [0, 1], [1, 3, 4, 8], list(range(9))]
+    for own, got in zip(found, model.scores(found)):
+        logit = model.bias + sum(model.weight[i] for i in own) + sum(model.factors[i] @ model.factors[j] for i in own for j in own if i < j)
+        assert got == pytest.approx(1 / (1 + np.exp(-logit)), abs=1e-12)
+
+
+def test_all_terms_beyond_chance_are_kept(spark):
+    """No cap on terms: each of 1000 terms of toxic texts alone is one."""
+    rows = [(k, int(k < 40), [t for t in range(1000) if k < 40] if k < 40 else [5000]) for k in range(200)]
+    assert len(toxicity.chosen_terms(spark.createDataFrame(rows, "d long, y int, terms array<int>"))) == 1001
+
+
 def test_toxicity_decisions(spark, read):
     rng = random.Random(3)
     words = [f"calm{k}" for k in "abcdefgh"]

@@ -91,6 +91,40 @@ def test_column_generation_beats_its_start():
     assert used <= 1.02 * sum(k * v for k, v in h.items())
 
 
+def test_columns_are_priced_over_a_smooth_histogram(monkeypatch):
+    """No cap ends the programme: it stops where no pattern improves it, here after many rounds of pricing."""
+    rng, rounds, price = np.random.default_rng(3), [], packing._columns
+    monkeypatch.setattr(packing, "_columns", lambda *a: rounds.append(price(*a)) or rounds[-1])
+    h = dict(zip(*(a.tolist() for a in np.unique(rng.integers(1, 1024, 50_000), return_counts=True))))
+    plan = packing.patterns(h)
+    cost = sum(packing.padded(sum(k * c for k, c in p.items())) * n for p, n in plan)
+    assert len(rounds) > 20 and cost < 1.005 * sum(k * v for k, v in h.items())
+
+
+def test_every_segmentation_with_its_probability():
+    """More samples than there are paths: all of them, by falling probability-weighted noise, none twice."""
+    own = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"), 1.0)
+    score = {own.model.id_to_piece(k): s for _, _, ids, logs in own.tables for k, s in zip(ids.tolist(), logs.tolist())}
+
+    def paths(word):
+        if not word:
+            return [()]
+        return [(word[:n], *rest) for n in range(1, len(word) + 1) if word[:n] in score for rest in paths(word[n:])]
+
+    words = own.words("the cat")
+    every = [a + b for a in paths(words[0]) for b in paths(words[1])]
+    weight = {p: sum(map(score.get, p)) for p in every}
+    whole = np.log(sum(np.exp(w) for w in weight.values()))
+    [found] = piece_sampling.sample(own, [1], ["the cat"], len(every) + 5)
+    got = {tuple(own.model.id_to_piece(k) for k in ids.tolist()): (log, inclusion) for ids, log, inclusion in found}
+    assert set(got) == set(every) and len(found) == len(every)
+    for p, (log, inclusion) in got.items():
+        assert log == pytest.approx(weight[p] - whole, abs=1e-9) and inclusion == 0
+    for k in (1, 2, 7):  # fewer samples are the first ones of more
+        [some] = piece_sampling.sample(own, [1], ["the cat"], k)
+        assert len(some) == k and len({tuple(i.tolist()) for i, _, _ in some}) == k
+
+
 def test_samples_are_distinct_and_decode():
     own = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"))
     texts = ["ab cd", "the cat", "héx", "", None, " a  b", "漢x", "\x00", "a" * 200]

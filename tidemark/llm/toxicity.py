@@ -1,13 +1,13 @@
 """Toxicity by a factorization machine over hashed terms.
 
 A term is a word, or the start of one, hashed to `BITS` bits; a document has the set of its terms. Terms whose
-share differs between toxic and other documents by more than chance would give are kept, `TERMS` at most, and
+share differs between toxic and other documents by more than chance would give are kept, all of them, and
 
     logit = bias + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j
 
 is fitted to the labels: the second sum has what two terms mean together beyond what each adds, such as an
 insult and the mention of a group. Fitting sees `SAMPLE` labelled rows at most, those of the smallest hash of
-their id, and its model has at most `TERMS` rows of `FACTORS` + 1 numbers; scoring reads every whole text.
+their id, and its model has a row of `FACTORS` + 1 numbers for each kept term of those; scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from tidemark.llm.shared import cut, tidy
 
 BITS = 30
 SAMPLE = 24_000
-TERMS = 4096
 FACTORS = 8
 CHI2 = 15.0
 THRESHOLD = 0.3
@@ -72,9 +71,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total, -40, 40)))
 
 
-def chosen_terms(rows: DataFrame, most: int = TERMS, least: float = CHI2) -> np.ndarray:
+def chosen_terms(rows: DataFrame, least: float = CHI2) -> np.ndarray:
     """Of term sets (d, y, terms) the terms that go with a class, by the chi-squared statistic of their counts;
-    counted in the cluster, so that the driver gets `most` numbers."""
+    counted in the cluster, so that the driver gets a number for each term above `least`."""
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < n1 < n:
         return np.empty(0, np.uint32)
@@ -82,7 +81,7 @@ def chosen_terms(rows: DataFrame, most: int = TERMS, least: float = CHI2) -> np.
     expected = F.col("c") * (n1 / n)
     spread = expected * (1 - n1 / n) * (1 - F.col("c") / n)
     off = F.greatest(F.abs(F.col("c1") - expected) - 0.5, F.lit(0.0))
-    best = counts.select("term", (off * off / F.greatest(spread, F.lit(1e-9))).alias("chi2")).where(F.col("chi2") > least).orderBy(F.desc("chi2"), "term").limit(most)
+    best = counts.select("term", (off * off / F.greatest(spread, F.lit(1e-9))).alias("chi2")).where(F.col("chi2") > least)
     return np.array(sorted(r.term for r in best.collect()), np.uint32)
 
 
@@ -121,8 +120,11 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, most: int = TERMS, **options) -> Model:
-    """A model from the labelled rows outside the held-out quarter, `sample` of them at most."""
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE, **options) -> Model:
+    """A model from the labelled rows outside the held-out quarter, `sample` of them at most.
+
+    A label other than 0 or 1, or without an id, counts for nothing. An id with several labels, or with several
+    documents, gives a row for each pair of them; of more than `sample` rows those of the smallest hash are used."""
     chosen = labels.select(F.col(doc_id).alias("d"), F.col(label).cast("int").alias("y")).where("d IS NOT NULL AND y IN (0, 1)")
     chosen = chosen.where(~held_out("d")).orderBy(F.xxhash64("d"), "d", "y").limit(sample)
     rows = docs.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).join(F.broadcast(chosen), "d")  # at most `sample` rows of two numbers
@@ -138,7 +140,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), found], names=["d", "y", "terms"])
 
     known = cut(rows.select(F.col("d").cast("long"), "t", "y").mapInArrow(read, "d long, y int, terms array<int>"), "toxic-terms")
-    index = chosen_terms(known, most)
+    if known.count() > sample:  # ids that repeat
+        known = cut(known.orderBy(F.xxhash64("d", "y", "terms"), "d").limit(sample), "toxic-terms")
+    index = chosen_terms(known)
 
     def places(batches):
         import pyarrow as pa
