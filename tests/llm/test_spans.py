@@ -63,6 +63,51 @@ def test_secrets(read):
     assert len(got) == len(rows) and all(r.h == want[r.doc_id] for r in got)
 
 
+def graph(edges, rounds, accept, support):
+    """What pii._scores has to find, one value and one pattern at a time."""
+    seeds = {(k, v) for k, _, v, s in edges if s}
+    score = {(k, v): float((k, v) in seeds) for k, _, v, _ in edges}
+    known = set(seeds)
+    for _ in range(rounds):
+        mean = {}
+        for pattern in {(k, p) for k, p, _, _ in edges}:
+            own = [(k, v) for k, p, v, _ in edges if (k, p) == pattern]
+            if sum(v in known for v in own) >= support:
+                mean[pattern] = sum(score[v] for v in own) / (len(own) + 1)
+        fresh = {}
+        for k, p, v, s in edges:
+            if not s and (k, p) in mean:
+                fresh[k, v] = 1 - (1 - fresh.get((k, v), 0.0)) * (1 - min(mean[k, p], 0.999))
+        score = {v: 1.0 if v in seeds else fresh.get(v, 0.0) for v in score}
+        known |= {v for v, s in score.items() if s >= accept}
+    return known
+
+
+def test_graph_scores_against_brute_force(spark):
+    rng = random.Random(9)
+    edges = {}
+    for _ in range(400):
+        p = rng.randrange(12)
+        v = rng.randrange(60) if p > 3 else rng.randrange(25)
+        edges["phone" if p % 3 else "ip", f"p{p}", f"v{v}"] = v < 14
+    edges = [(*e, s) for e, s in edges.items()]
+    df = spark.createDataFrame(edges, "kind string, pattern string, value string, seed boolean").repartition(3)
+    for rounds, accept, support in ((1, 0.5, 3), (3, 0.6, 3), (4, 0.45, 2)):
+        got = {tuple(r) for r in pii._scores(df, rounds, accept, support).collect()}
+        assert got == graph(edges, rounds, accept, support)
+
+
+def test_accepted_values_support_other_patterns(read):
+    """`Fax` comes with no seed; values found by `phone` make it known, and it finds one that `phone` never shows."""
+    seeds = [f"phone: +1 212 555 {k:04d}" for k in range(30)]
+    shared = [f"{w} 212-555-{k:04d}" for k in range(8000, 8012) for w in ("phone:", "fax:")]
+    rows = list(enumerate([*seeds, *shared, "fax: 646-555-9999", "order 646-555-1111"]))
+    spans = {r.doc_id: len(r.spans) for r in pii.find(read(rows), rounds=4).collect()}
+    assert all(spans[i] == 1 for i in range(len(rows) - 1)) and spans[len(rows) - 1] == 0
+    once = {r.doc_id: len(r.spans) for r in pii.find(read(rows), rounds=1).collect()}
+    assert once[len(rows) - 2] == 0
+
+
 def test_entropy_and_allow_list(read):
     import math
     from collections import Counter

@@ -4,8 +4,9 @@ Four patterns find e-mail addresses, IP addresses, card and phone numbers: the s
 kinds find candidates, such as a phone number without a country code or an address with "(at)". The word before
 a mention, with a mark after it if there is one, is its lexical pattern. Patterns and the values seen with them
 are a graph of two sides, scored in turn for `ROUNDS` rounds: a pattern by the mean score of its distinct values
-(with one value more of score 0), a value by noisy-or over its patterns; seeds are 1 throughout. Candidates that end with a score of
-`ACCEPT` or more, by patterns with `SUPPORT` or more seeds, are personal data too.
+(with one value more of score 0), a value by noisy-or over its patterns; seeds are 1 throughout. Only patterns with
+`SUPPORT` or more known values count. Seeds are known from the start; a candidate whose score reaches `ACCEPT` is personal
+data too, known from then on, and so supports patterns that no seed came with, which find others in later rounds.
 """
 
 from __future__ import annotations
@@ -13,11 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SPACE, cut, with_row
+from tidemark.llm.shared import SPACE, cut, small_side, with_row
 from tidemark.llm.spans import SPAN, in_order, matches, shown
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+ROUNDS = 4
 ACCEPT = 0.6
 SUPPORT = 3
 
@@ -86,23 +87,22 @@ def _mentions(text: Column, spans: Column, seed: bool) -> Column:
 
 
 def _scores(edges: DataFrame, rounds: int, accept: float, support: int) -> DataFrame:
-    """kind, value of the candidates that the graph accepts. edges: kind, pattern, value, seed, once each."""
-    values = cut(edges.groupBy("kind", "value").agg(F.max("seed").alias("seed")).withColumn("score", F.col("seed").cast("double")), "pii-values")
+    """kind, value of what is known in the end. edges: kind, pattern, value, seed, once each."""
+    values = cut(edges.groupBy("kind", "value").agg(F.max("seed").alias("seed")).select("*", F.col("seed").cast("double").alias("score"), F.col("seed").alias("known")), "pii-values")
     for _ in range(rounds):
-        known = edges.select("kind", "pattern", "value").join(values, ["kind", "value"])
+        scored = edges.select("kind", "pattern", "value").join(values, ["kind", "value"])
         mean = (F.sum("score") / (F.count("*") + 1)).alias("mean")
-        patterns = cut(known.groupBy("kind", "pattern").agg(mean, F.sum(F.col("seed").cast("int")).alias("seeds")).where(F.col("seeds") >= support), "pii-patterns")
-        doubt = edges.join(patterns, ["kind", "pattern"]).groupBy("kind", "value", "seed").agg(F.sum(F.log(1 - F.least(F.col("mean"), F.lit(0.999)))).alias("d"))
-        fresh = doubt.select("kind", "value", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("d")).alias("fresh"))
-        known = values.join(fresh, ["kind", "value"], "left")
-        values = cut(known.select("kind", "value", "seed", F.coalesce("fresh", F.col("seed").cast("double")).alias("score")), "pii-values")
-    return values.where(~F.col("seed") & (F.col("score") >= accept)).select("kind", "value")
+        patterns = cut(scored.groupBy("kind", "pattern").agg(mean, F.sum(F.col("known").cast("int")).alias("of")).where(F.col("of") >= support).drop("of"), "pii-patterns")
+        doubt = edges.where(~F.col("seed")).join(small_side(patterns, patterns.count()), ["kind", "pattern"]).groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("mean"), F.lit(0.999)))))).alias("fresh"))
+        score = F.when(F.col("seed"), 1.0).otherwise(F.coalesce("fresh", F.lit(0.0)))
+        values = cut(values.join(doubt, ["kind", "value"], "left").select("kind", "value", "seed", score.alias("score"), (F.col("known") | (score >= accept)).alias("known")), "pii-values")
+    return values.where("known").select("kind", "value")
 
 
 def find(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
     """__row, id, base and spans of every row of `docs`, a table as read: arrays of kind, start, end.
 
-    A null or empty text has no spans. Repeated rows are looked at one by one, but their values count once.
+    A null or empty text has no spans. A candidate with a known value, a seed's too, is a span. Repeated rows are looked at one by one, but their values count once.
     Ids may be null or repeated; columns other than the two are not read. An empty table gives no rows.
     """
     slim = with_row(docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")))
