@@ -91,6 +91,13 @@ def test_column_generation_beats_its_start():
     assert used <= 1.02 * sum(k * v for k, v in h.items())
 
 
+def test_wide_ids_are_refused(tmp_path):
+    out = token_files.Writer(str(tmp_path / "f"), 1, "byte", 4, 1)
+    out.add(1, np.array([255], "<u4").tobytes())
+    with pytest.raises(ValueError):
+        out.add(2, np.array([256], "<u4").tobytes())
+
+
 def test_columns_are_priced_over_a_smooth_histogram(monkeypatch):
     """No cap ends the programme: it stops where no pattern improves it, here after many rounds of pricing."""
     rng, rounds, price = np.random.default_rng(3), [], packing._columns

@@ -35,7 +35,9 @@ ROWS = 2
 BLOCK = 512
 BINS = 512
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_KNOWN = 300_000
+#: Bytes of words, with what a table entry takes, whose hashes a worker keeps.
+_KNOWN = 48 << 20
+_ENTRY = 160
 _U = np.uint64
 
 
@@ -50,20 +52,22 @@ class Shingler:
     """Texts to sorted distinct 64-bit shingle hashes."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.known = words, {}
+        self.words, self.known, self.held = words, {}, 0
 
     def __call__(self, text: str | None) -> np.ndarray:
         found = (text or "").encode(errors="replace").translate(_LOWER).split()
         if not found:
             return np.empty(0, _U)
         known = self.known
-        if len(known) > _KNOWN:
+        if self.held > _KNOWN:
             known.clear()
+            self.held = 0
         try:
             w = np.fromiter(map(known.__getitem__, found), _U, len(found))
         except KeyError:
             for x in set(found).difference(known):
                 known[x] = xxhash.xxh64_intdigest(x, 5)
+                self.held += len(x) + _ENTRY
             w = np.fromiter(map(known.__getitem__, found), _U, len(found))
         n = min(self.words, len(w))
         h = w[: len(w) - n + 1] * _MIX[0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import re
@@ -37,11 +38,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
+#: What a Python worker gets at once while a table is cut.
+_ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Bounds Arrow batches by rows and bytes; the session's own settings come back at the end."""
+    before = {key: spark.conf.get(key, None) for key in _ARROW}
+    try:
+        for key, value in _ARROW.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes `df` to the shared folder and reads it back: a lost executor costs no recomputation beyond it."""
+    """Writes `df` to the shared folder and reads it back: a lost executor costs no recomputation beyond it.
+
+    Texts and sets that pass through Python on the way come in small batches, so that long ones don't add up."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -75,6 +75,8 @@ class Writer:
 
     def add(self, doc: int | None, ids: bytes) -> None:
         ids = np.frombuffer(ids, "<u4")
+        if self.width < 4 and int(ids.max(initial=0)) >> 8 * self.width:
+            raise ValueError(f"id {ids.max()} doesn't fit {self.width} bytes")
         self.docs.append(doc)
         self.lengths.append(len(ids))
         self.waiting.append(ids)
@@ -141,8 +143,8 @@ def read_file(path: str) -> Iterator[tuple[int | None, np.ndarray]]:
 def write_files(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocab: str | None = None, end_id: int | None = END_ID, width: int = 2, planes: str = "byte", chunk: int = CHUNK, level: int = LEVEL) -> DataFrame:
     """Encodes every row's text and writes files in ascending id order (null first, repeated ids by text).
 
-    Returns the manifest in order: path, docs, tokens, start (tokens in the files before). `width` bytes an id
-    have to hold the vocabulary's largest one. A null text counts as empty; of an empty text there is only the
+    Returns the manifest in order: path, docs, tokens, start (tokens in the files before). Ids that `width` bytes
+    can't hold are an error. A null text counts as empty; of an empty text there is only the
     end id. An empty table gives an empty manifest. Columns other than the two are not read.
     """
     vocab = vocab or vocabulary()
