@@ -1,8 +1,8 @@
 """Exact deduplication by deterministic block naming.
 
 Every text, with white space deleted, is cut into blocks of `block_chars` characters. The distinct blocks are
-sorted and a block's place in that order is its integer name. Then adjacent names are paired, the distinct
-pairs are sorted and named in turn, and so on until one name is left of each document: (level, name), equal
+dealt by hash and sorted there, and a block's place among all (partition, then place in it) is its integer name. Then
+adjacent names are paired, the distinct pairs are sorted and named in turn, and so on until one name is left of each document: (level, name), equal
 exactly for equal texts, as each step maps distinct things to distinct numbers.
 
 Blocks travel once, as map-side distinct values. Documents refer to them by a 128-bit key; that the key has
@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import SPACE, cut, with_row
+from tidemark.llm.shared import SPACE, cut, free_name, with_row
 
 BLOCK_CHARS = 8192
 
@@ -102,9 +102,11 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
 
 
 def drop_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns."""
-    kept = exact_dedup(docs, doc_id, text, **options).where("kept").select("__row")
-    return with_row(docs).join(kept, "__row", "left_semi").drop("__row")
+    """The rows of `docs`, a table as read, that stay, with all their columns, whatever their names: by the rules of
+    `exact_dedup` for nulls, ties and repeated rows. An empty table stays empty."""
+    row = free_name(docs, "__row")
+    kept = exact_dedup(docs, doc_id, text, **options).where("kept").select(F.col("__row").alias(row))
+    return with_row(docs, row).join(kept, row, "left_semi").drop(row)
 
 
 def op1_exact_dedup(spark, sf_dir):

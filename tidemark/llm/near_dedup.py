@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, small_side, tidy, with_row
+from tidemark.llm.shared import cut, free_name, small_side, tidy, with_row
 
 WORDS = 5
 PERCENT = 75
@@ -299,9 +299,11 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
 
 
 def drop_near(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of `docs`, a table as read, that are kept, with all their columns."""
-    kept = near_groups(docs, doc_id, text, **options).where("kept").select("__row")
-    return with_row(docs).join(kept, "__row", "left_semi").drop("__row")
+    """The rows of `docs`, a table as read, that are kept, with all their columns, whatever their names. Texts without
+    words all stay; of repeated rows with the kept id all do. An empty table stays empty."""
+    row = free_name(docs, "__row")
+    kept = near_groups(docs, doc_id, text, **options).where("kept").select(F.col("__row").alias(row))
+    return with_row(docs, row).join(kept, row, "left_semi").drop(row)
 
 
 def op4_near_dedup(spark, sf_dir):

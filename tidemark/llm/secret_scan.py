@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.shared import free_name
 from tidemark.llm.spans import SPAN, in_order, matches, shown
 
 #: The contract's patterns, the quantifiers made possessive where nothing can follow.
@@ -93,15 +94,19 @@ def entropy_spans(text: Column, base: Column) -> Column:
     return F.filter(matches(text, CANDIDATE, "entropy"), lambda s: free(s) & _suspicious(s["value"]))
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `__base` and `__spans`, arrays of kind, start, end, value; the second has the first and more.
+def scan(docs: DataFrame, text: str = "text", base: str = "__base", spans: str = "__spans") -> DataFrame:
+    """`docs` with `base` and `spans`, arrays of kind, start, end, value; the second has the first and more. Columns
+    that have these names already are an error.
 
     A null or empty text has no spans. Rows are looked at one by one: repeated rows and null ids are no matter,
     and an empty table gives an empty one.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
-    found = docs.withColumn("__base", base_spans(whole))
-    return found.withColumn("__spans", in_order(F.concat("__base", entropy_spans(whole, F.col("__base"))), KINDS))
+    for name in (base, spans):
+        if free_name(docs, name) != name:
+            raise ValueError(f"there is a column {name} already")
+    found = docs.withColumn(base, base_spans(whole))
+    return found.withColumn(spans, in_order(F.concat(base, entropy_spans(whole, F.col(base))), KINDS))
 
 
 def masked(text: Column, spans: Column) -> Column:
@@ -120,12 +125,13 @@ def masked(text: Column, spans: Column) -> Column:
 def mask_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the secrets in `text` masked, and `n_chars`, if there is such a column, made to fit.
 
-    No row goes; a null text stays null."""
-    found = scan(docs, text)
-    out = found.withColumn(text, masked(F.col(text), F.col("__spans")))
+    No row goes and no other column changes; a null text stays null. An empty table stays empty."""
+    base, spans = free_name(docs, "__base"), free_name(docs, "__spans")
+    found = scan(docs, text, base, spans)
+    out = found.withColumn(text, masked(F.col(text), F.col(spans)))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        changed = (F.size("__spans") > 0) & F.col(text).isNotNull()
+        changed = (F.size(spans) > 0) & F.col(text).isNotNull()
         out = out.withColumn("n_chars", F.when(changed, F.char_length(text)).otherwise(F.col("n_chars")).cast(kind))
     return out.select(*docs.columns)
 

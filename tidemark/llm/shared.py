@@ -66,6 +66,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """`name`, longer where a column has it (in any case of letters) already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row(df: DataFrame, name: str = "__row") -> DataFrame:
     """Numbers the rows, so that equal rows stay apart.
 

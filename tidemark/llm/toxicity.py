@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import cut, tidy
+from tidemark.llm.shared import cut, free_name, tidy
 
 BITS = 30
 SAMPLE = 24_000
@@ -197,8 +197,10 @@ def decided(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: st
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
-    """The rows of `docs` scored under the threshold, with all their columns."""
-    return score(docs, fit(docs, labels, doc_id, text, **options), text, "__toxicity").where(F.col("__toxicity") < threshold).drop("__toxicity")
+    """The rows of `docs` scored under the threshold, with all their columns, whatever their names. Null and empty
+    texts score what the bias says; without labels nothing goes. An empty table stays empty."""
+    column = free_name(docs, "__toxicity")
+    return score(docs, fit(docs, labels, doc_id, text, **options), text, column).where(F.col(column) < threshold).drop(column)
 
 
 def op9_toxicity(spark, sf_dir):
