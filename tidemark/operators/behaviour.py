@@ -7,29 +7,54 @@ WITH x AS (SELECT system, entity, CAST(COUNT(*) AS DOUBLE) AS n FROM {obs} o GRO
 d AS (SELECT x.system, PERCENTILE(ABS(n - med), 0.5) * 1.4826e0 AS mad FROM x JOIN m ON x.system = m.system GROUP BY x.system)
 SELECT x.system, x.entity, ROUND((n - med) / GREATEST(mad, 1e-9), 6) AS robust_z FROM x JOIN m ON x.system = m.system JOIN d ON x.system = d.system""")
 
-_P = """
+#: Upper tail shares of each entity-day among all, by the distinct values: those are few, the rows are not.
+_X = """
+WITH x AS (SELECT entity, day, COUNT(*) AS n, SUM(CASE WHEN status >= 500 THEN 1 ELSE 0 END) AS e, SUM(is_write) AS w FROM {obs} o GROUP BY entity, day), k AS (SELECT COUNT(*) + 1e0 AS k FROM x),
+vn AS (SELECT n, c, SUM(c) OVER (ORDER BY n DESC) AS above FROM (SELECT n, COUNT(*) AS c FROM x GROUP BY n) g),
+ve AS (SELECT e, SUM(c) OVER (ORDER BY e DESC) AS above FROM (SELECT e, COUNT(*) AS c FROM x GROUP BY e) g),
+vw AS (SELECT w, SUM(c) OVER (ORDER BY w DESC) AS above FROM (SELECT w, COUNT(*) AS c FROM x GROUP BY w) g)"""
+_P = _X + """,
+p AS (SELECT entity, day, vn.above / k AS p_rate, ve.above / k AS p_error, vw.above / k AS p_write FROM x JOIN vn ON x.n = vn.n JOIN ve ON x.e = ve.e JOIN vw ON x.w = vw.w CROSS JOIN k)"""
+#: The same by windows over all rows, for the oracles.
+_OWN = """
 WITH x AS (SELECT entity, day, COUNT(*) AS n, SUM(CASE WHEN status >= 500 THEN 1 ELSE 0 END) AS e, SUM(is_write) AS w FROM {obs} o GROUP BY entity, day),
 p AS (SELECT entity, day, (COUNT(*) OVER (ORDER BY n DESC RANGE UNBOUNDED PRECEDING)) / (COUNT(*) OVER () + 1e0) AS p_rate,
              (COUNT(*) OVER (ORDER BY e DESC RANGE UNBOUNDED PRECEDING)) / (COUNT(*) OVER () + 1e0) AS p_error, (COUNT(*) OVER (ORDER BY w DESC RANGE UNBOUNDED PRECEDING)) / (COUNT(*) OVER () + 1e0) AS p_write FROM x)"""
 
-plan("whmp_by_family", _P + """
+
+def _over_p(name: str, rest: str) -> None:
+    plan(name, _P + rest, _OWN + rest)
+
+
+_over_p("whmp_by_family", """
 SELECT entity, day, ROUND(LEAST(1e0, 2e0 / (1 / p_rate + 0.5e0 / p_error + 0.5e0 / p_write)), 6) AS p_fused, ROUND(LEAST(p_rate, LEAST(p_error, p_write)), 6) AS p_least FROM p""")
 
-plan("eday_severity", _P + """,
+_over_p("eday_severity", """,
 e AS (SELECT entity, day, LEAST(1e0, 2e0 / (1 / p_rate + 0.5e0 / p_error + 0.5e0 / p_write)) AS e_day FROM p)
 SELECT entity, day, ROUND(e_day, 6) AS e_day, CASE WHEN e_day <= 3e-6 THEN 'critical' WHEN e_day <= 3e-4 THEN 'high' WHEN e_day <= 3e-3 THEN 'medium' WHEN e_day <= 0.03 THEN 'low' ELSE 'none' END AS severity FROM e""")
 
-plan("bh_threshold", _P + """,
+_over_p("bh_threshold", """,
 r AS (SELECT day, p_rate AS p, ROW_NUMBER() OVER (PARTITION BY day ORDER BY p_rate, entity) AS k, COUNT(*) OVER (PARTITION BY day) AS m FROM p)
 SELECT day, ROUND(COALESCE(MAX(CASE WHEN p <= k * 0.05e0 / m THEN p END), -1e0), 6) AS threshold, MAX(m) AS tests FROM r GROUP BY day""")
 
-plan("conformal_p_prior256", """
+_PRIOR = """
 WITH x AS (SELECT entity, event_id, up AS s, ROW_NUMBER() OVER (PARTITION BY entity ORDER BY t, event_id) AS k FROM {obs} o),
-c AS (SELECT a.entity, a.event_id, COUNT(b.s) AS n, SUM(CASE WHEN b.s > a.s THEN 1 ELSE 0 END) AS above, SUM(CASE WHEN b.s = a.s THEN 1 ELSE 0 END) AS ties
-      FROM x a LEFT JOIN x b ON a.entity = b.entity AND b.k < a.k AND b.k >= a.k - 256 GROUP BY a.entity, a.event_id)
-SELECT entity, event_id, CASE WHEN n = 0 THEN 0.5e0 ELSE ROUND((above + 0.5e0 * (ties + 1)) / (n + 1), 6) END AS p FROM c""")
+{left}c AS (SELECT a.entity, a.event_id, COUNT(b.s) AS n, SUM(CASE WHEN b.s > a.s THEN 1 ELSE 0 END) AS above, SUM(CASE WHEN b.s = a.s THEN 1 ELSE 0 END) AS ties
+      FROM {a} a LEFT JOIN {b} b ON a.entity = b.entity {same}AND b.k < a.k AND b.k >= a.k - 256 GROUP BY a.entity, a.event_id)
+SELECT entity, event_id, CASE WHEN n = 0 THEN 0.5e0 ELSE ROUND((above + 0.5e0 * (ties + 1)) / (n + 1), 6) END AS p FROM c"""
+
+
+def _prior(left: str, a: str, b: str, same: str) -> str:
+    return _PRIOR.replace("{left}", left).replace("{a}", a).replace("{b}", b).replace("{same}", same)
+
+
+# the 256 before a row lie in its block of 256 or the one before it
+_BLOCKS = """y AS (SELECT *, CAST(FLOOR((k - 1) / 256e0) AS BIGINT) AS g FROM x), z AS (SELECT entity, k, s, g FROM y UNION ALL SELECT entity, k, s, g + 1 FROM y),
+"""
+plan("conformal_p_prior256", _prior(_BLOCKS, "y", "z", "AND a.g = b.g "), _prior("", "x", "x", ""))
 
-plan("ks_uniform", _P + """,
+plan("ks_uniform", _X + """
+SELECT ROUND(MAX(GREATEST(above / (k - 1) - above / k, above / k - (above - c) / (k - 1))), 6) AS ks_d, CAST(MAX(k) - 1 AS BIGINT) AS n FROM vn CROSS JOIN k""", _OWN + """,
 r AS (SELECT p_rate AS p, ROW_NUMBER() OVER (ORDER BY p_rate) AS i, COUNT(*) OVER () AS n FROM p)
 SELECT ROUND(MAX(GREATEST(i / CAST(n AS DOUBLE) - p, p - (i - 1) / CAST(n AS DOUBLE))), 6) AS ks_d, MAX(n) AS n FROM r""")
 
@@ -61,11 +86,16 @@ r AS (SELECT system, y, (ROW_NUMBER() OVER (PARTITION BY system ORDER BY y) - 0.
 x AS (SELECT *, 2 - a0 / (a0 - 2 * a1) AS raw FROM a)
 SELECT system, n, ROUND(GREATEST(-0.5e0, LEAST(0.5e0, raw)), 6) AS xi, ROUND(CASE WHEN ABS(raw) > 0.5 THEN a0 * (1 - GREATEST(-0.5e0, LEAST(0.5e0, raw))) ELSE 2 * a0 * a1 / (a0 - 2 * a1) END, 5) AS sigma FROM x""")
 
+# Of m members in order, the others of the k-th keep their rank below k and lose one above it; their median is the mean of
+# the floor(m / 2)-th and the floor((m + 1) / 2)-th of them.
 plan("loo_median_residual", """
 WITH x AS (SELECT system, entity, CAST(COUNT(*) AS DOUBLE) AS n FROM {obs} o GROUP BY system, entity),
 r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY system ORDER BY n, entity) AS k, COUNT(*) OVER (PARTITION BY system) AS m FROM x),
-l AS (SELECT a.system, a.entity, a.n, PERCENTILE(b.n, 0.5) AS med, COUNT(*) AS others FROM r a JOIN r b ON a.system = b.system AND a.entity <> b.entity AND b.k BETWEEN a.m / 2 - 3 AND a.m / 2 + 4 GROUP BY a.system, a.entity, a.n)
-SELECT system, entity, ROUND(n - med, 6) AS residual FROM l WHERE others >= 3""".replace("a.m / 2", "FLOOR(a.m / 2e0)"))
+p AS (SELECT *, CAST(FLOOR(m / 2e0) AS BIGINT) AS i, CAST(FLOOR((m + 1) / 2e0) AS BIGINT) AS j FROM r WHERE m > 3),
+q AS (SELECT system, entity, n, CASE WHEN i < k THEN i ELSE i + 1 END AS i, CASE WHEN j < k THEN j ELSE j + 1 END AS j FROM p)
+SELECT q.system, q.entity, ROUND(q.n - (a.n + b.n) / 2, 6) AS residual FROM q JOIN r a ON a.system = q.system AND a.k = q.i JOIN r b ON b.system = q.system AND b.k = q.j""", """
+WITH x AS (SELECT system, entity, COUNT(*)::DOUBLE AS n FROM {obs} o GROUP BY ALL)
+SELECT a.system, a.entity, ROUND(ANY_VALUE(a.n) - MEDIAN(b.n), 6) AS residual FROM x a JOIN x b ON a.system = b.system AND a.entity <> b.entity GROUP BY a.system, a.entity HAVING COUNT(*) >= 3""")
 
 plan("renewal_kappa0", """
 WITH g AS (SELECT entity, t - LAG(t) OVER (PARTITION BY entity ORDER BY t, event_id) AS x FROM {obs} o), s AS (SELECT entity, COUNT(*) AS n, LN(AVG(x)) - AVG(LN(x)) AS s FROM g WHERE x > 0 GROUP BY entity HAVING COUNT(*) >= 8)
@@ -110,9 +140,9 @@ WITH n AS (SELECT entity, token, COUNT(CASE WHEN day < 19738 THEN 1 END) AS old_
 s AS (SELECT entity, token, old_n / CAST(NULLIF(SUM(old_n) OVER (PARTITION BY entity), 0) AS DOUBLE) AS a, new_n / CAST(NULLIF(SUM(new_n) OVER (PARTITION BY entity), 0) AS DOUBLE) AS b FROM n)
 SELECT entity, token, ROUND(COALESCE(a, 0), 6) AS old_share, ROUND(COALESCE(b, 0), 6) AS new_share, CASE WHEN COALESCE(a, 0) = 0 THEN 'added' WHEN COALESCE(b, 0) = 0 THEN 'removed' ELSE 'kept' END AS change FROM s""")
 
-plan("calibration_health", _P + """,
+_over_p("calibration_health", """,
 d AS (SELECT day, COUNT(*) AS n, COUNT(CASE WHEN p_rate <= 0.05 THEN 1 END) AS hits FROM p GROUP BY day)
 SELECT day, n, hits, ROUND(hits / (0.05e0 * n), 6) AS rate_ratio, CASE WHEN hits / (0.05e0 * n) BETWEEN 0.6 AND 1.6667 THEN 1e0 ELSE 0.5e0 END AS weight FROM d""")
 
-plan("dual_anchor", _P + " SELECT entity, day, ROUND(LEAST(1e0, 2 * LEAST(p_rate, p_write)), 6) AS p FROM p")
-plan("sidak_day", _P + " SELECT day, COUNT(*) AS n, ROUND(1 - POWER(1 - MIN(p_rate), COUNT(*)), 6) AS p_day FROM p GROUP BY day")
+_over_p("dual_anchor", " SELECT entity, day, ROUND(LEAST(1e0, 2 * LEAST(p_rate, p_write)), 6) AS p FROM p")
+_over_p("sidak_day", " SELECT day, COUNT(*) AS n, ROUND(1 - POWER(1 - MIN(p_rate), COUNT(*)), 6) AS p_day FROM p GROUP BY day")

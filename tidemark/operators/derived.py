@@ -47,12 +47,22 @@ WITH s AS (SELECT system, MIN(hour) AS lo, MAX(hour) AS hi FROM {obs} o GROUP BY
 h AS (SELECT DISTINCT hour FROM {obs} o), n AS (SELECT system, hour, COUNT(*) AS n FROM {obs} o GROUP BY system, hour)
 SELECT s.system, h.hour, COALESCE(n.n, 0) AS events FROM s JOIN h ON h.hour BETWEEN s.lo AND s.hi LEFT JOIN n ON n.system = s.system AND n.hour = h.hour""")
 
-plan("ewma_12h", """
+_EWMA = """
 WITH x AS (SELECT system, hour, CAST(COUNT(*) AS DOUBLE) AS x FROM {obs} o GROUP BY system, hour),
 g AS (SELECT *, LAG(hour) OVER (PARTITION BY system ORDER BY hour) AS before FROM x),
-p AS (SELECT a.system, a.hour, SUM(CASE WHEN b.before IS NULL THEN 1e0 ELSE 1 - POWER(2e0, -(b.hour - b.before) / 12e0) END * POWER(2e0, -(a.hour - b.hour) / 12e0) * b.x) AS ewma
-      FROM g a JOIN g b ON a.system = b.system AND b.hour <= a.hour GROUP BY a.system, a.hour)
-SELECT system, hour, ROUND(ewma, 6) AS ewma FROM p""")
+{left}p AS (SELECT a.system, a.hour, SUM(CASE WHEN b.before IS NULL THEN 1e0 ELSE 1 - POWER(2e0, -(b.hour - b.before) / 12e0) END * POWER(2e0, -(a.hour - b.hour) / 12e0) * b.x) AS ewma
+      FROM {a} a JOIN {b} b ON a.system = b.system {same}AND b.hour <= a.hour GROUP BY a.system, a.hour)
+SELECT system, hour, ROUND(ewma, 6) AS ewma FROM p"""
+
+
+def _ewma(left: str, a: str, b: str, same: str) -> str:
+    return _EWMA.replace("{left}", left).replace("{a}", a).replace("{b}", b).replace("{same}", same)
+
+
+# what is over 720 hours old weighs less than 2^-60: hours meet those of their own block of 720 and the one before it
+_HOURS = """y AS (SELECT *, CAST(FLOOR(hour / 720e0) AS BIGINT) AS b FROM g), z AS (SELECT * FROM y UNION ALL SELECT system, hour, x, before, b + 1 FROM y),
+"""
+plan("ewma_12h", _ewma(_HOURS, "y", "z", "AND a.b = b.b "), _ewma("", "g", "g", ""))
 
 plan("trend_slope", """
 WITH x AS (SELECT system, entity, day, CAST(COUNT(*) AS DOUBLE) AS n FROM {obs} o GROUP BY system, entity, day)

@@ -13,10 +13,10 @@ WITH k AS (SELECT entity, event_id, ROUND(t, 3) AS ts, token, ROW_NUMBER() OVER
 SELECT entity, event_id, ts, token, CAST(k AS BIGINT) AS k FROM k WHERE k <= 5""")
 
 plan("asof_checkpoint", """
-WITH o AS (SELECT entity, id, day FROM {ord} o),
-k AS (SELECT a.entity, a.id, a.day, b.id AS before_id, b.day AS before_day, ROW_NUMBER() OVER (PARTITION BY a.id ORDER BY b.day DESC, b.id DESC) AS k
-      FROM o a LEFT JOIN o b ON a.entity = b.entity AND b.day < a.day)
-SELECT entity, id, day, before_id, day - before_day AS age_days FROM k WHERE k = 1""")
+WITH k AS (SELECT entity, id, day, MAX(NAMED_STRUCT('day', day, 'id', id)) OVER (PARTITION BY entity ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM {ord} o)
+SELECT entity, id, day, b.id AS before_id, day - b.day AS age_days FROM k""", """
+WITH o AS (SELECT entity, id, day FROM {ord} o)
+SELECT a.entity, a.id, a.day, ARG_MAX(b.id, b.day * 1000000000 + b.id) AS before_id, a.day - MAX(b.day) AS age_days FROM o a LEFT JOIN o b ON a.entity = b.entity AND b.day < a.day GROUP BY a.entity, a.id, a.day""")
 
 plan("timeline_union_band_change", """
 WITH d AS (SELECT entity, day, COUNT(*) AS n FROM {obs} o GROUP BY entity, day), b AS (SELECT entity, day, CASE WHEN n >= 6 THEN 'high' WHEN n >= 3 THEN 'medium' ELSE 'low' END AS band FROM d),

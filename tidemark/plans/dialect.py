@@ -45,12 +45,14 @@ def _names(text: str) -> list[str]:
 
 def for_spark(text: str) -> str:
     text = text.replace("EPOCH_US(", "unix_micros(").replace("JSON_GET(", "get_json_object(")
+    text = re.sub(r"HEX8\((\w+), (\d+)\)", r"CAST(CONV(SUBSTR(MD5(\1), \2, 8), 16, 10) AS BIGINT)", text)
     return text.replace("GSUB(", "regexp_replace(")
 
 
 def for_duckdb(text: str) -> str:
     text = text.replace("EPOCH_US(", "epoch_us(").replace("JSON_GET(", "json_extract_string(")
     text = re.sub(r"\bPERCENTILE\(", "quantile_cont(", text)
+    text = re.sub(r"HEX8\((\w+), (\d+)\)", r"CAST('0x' || SUBSTR(MD5(\1), \2, 8) AS BIGINT)", text)
     while "GSUB(" in text:  # the innermost first
         text = re.sub(r"GSUB\(((?:(?!GSUB\().)*?), ('[^']*'), ('[^']*')\)", r"regexp_replace(\1, \2, \3, ~)", text, flags=re.DOTALL)
     return text.replace(", ~)", ", 'g')")
@@ -85,6 +87,7 @@ def oracle(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text)
 
 
-def plan(name: str, text: str, with_oracle: bool = True) -> None:
-    """Registers a statement as a query, with its DuckDB form as oracle."""
-    query(name, oracle(text) if with_oracle else None)(lambda spark, sf_dir: run(spark, sf_dir, text))
+def plan(name: str, text: str, own: str | None = None, with_oracle: bool = True) -> None:
+    """Registers a statement as a query. Its oracle is `own`, another statement for DuckDB that says the same in another
+    way (over the views, translated likewise), or else its DuckDB form."""
+    query(name, oracle(own or text) if with_oracle else None)(lambda spark, sf_dir: run(spark, sf_dir, text))
