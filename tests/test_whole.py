@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark import workload
@@ -112,3 +113,17 @@ def test_the_catalogue_is_built_or_named_as_missing():
     said = (root / "README.md").read_text().split("Not built yet:")[1].split("## Training-data operators")[0]
     assert len(names) > 100 and names <= set(workload.QUERIES) | set(re.findall(r"`([a-z0-9_]+)`", said))
     assert "SK11" in said and "SPE" in said and "pairs of texts" not in patterns.__doc__
+
+
+def test_weighted_minhash_finds_the_close_pairs(spark, small):
+    """Of exact pairs from 0.75 on nearly all share a band; all that are found are exact pairs with their value."""
+    key = lambda rows: {(r.e1, r.e2): r.jaccard for r in rows}
+    folder = small.replace("0.001", "0.01")
+    exact, found = (key(workload.QUERIES[n](spark, folder).collect()) for n in ("weighted_jaccard_exact", "weighted_minhash_pairs"))
+    assert all(exact[p] == pytest.approx(j, abs=1e-6) for p, j in found.items())
+    close = {p for p, j in exact.items() if j >= 0.7}
+    assert close and len(close & set(found)) >= 0.9 * len(close)
+
+
+def test_count_min_never_falls_short(spark, small):
+    assert all(r.estimate >= r.n for r in workload.QUERIES["count_min_estimate"](spark, small).collect())
