@@ -28,6 +28,9 @@ def test_negative_binomial_sums_up():
 def test_beta_binomial_and_student():
     assert dist.bb_pmf(np.arange(6), 5, 1, 1).tolist() == pytest.approx([1 / 6] * 6)
     assert dist.bb_midp(0, 5, 1, 1) == pytest.approx(1 - 1 / 12)
+    k, n, a, b = np.array([0, 3, 9, 40, 7]), np.array([5, 9, 9, 90, 7]), np.array([1, 0.5, 2, 3, 0.7]), np.array([1, 4, 2, 8, 9])
+    slow = [sum(dist.bb_pmf(np.arange(x, m + 1), m, p, q)) - 0.5 * dist.bb_pmf(x, m, p, q) for x, m, p, q in zip(k, n, a, b)]
+    assert dist.bb_midp(k, n, a, b, chunk=8) == pytest.approx(slow, rel=1e-9)
     assert dist.t_sf(1.0, 1) == pytest.approx(0.25, abs=1e-12)
     assert dist.t_midp(0.0, 7) == pytest.approx(1.0)
     assert dist.f_sf(1.0, 2, 2) == pytest.approx(0.5)
@@ -62,3 +65,17 @@ def test_rule_groups(spark):
     rule = Rule("r", "c", all=[Condition("x", "ge", 1)], any=[Condition("y", "ge", 1, 1.0), Condition("y", "eq", -5)], none=[Condition("z", "ge", 9)], weight=1.2)
     got = [spark.sql(f"SELECT {rule.sql()} AS m FROM (SELECT {x} AS x, {y} AS y, {z} AS z)").first().m for x, y, z in ((1, 0.5, 0), (1, 5, 0), (0, 5, 0), (1, 5, 9), (1, -1, 0))]
     assert got == pytest.approx([0.6, 1, 0, 0, 0])
+
+
+def test_shrunk_model_against_numpy():
+    """T squared, leading directions and errors of one label, by the rows themselves."""
+    from tidemark.operators.kernels import shrunk
+
+    x = np.random.default_rng(0).normal(size=(300, 6)) * np.array([5, 3, 1, 1, 0.5, 0.1])
+    mu, inverse, lead = shrunk(len(x), x.sum(0), x.T @ x)
+    cov = np.cov(x.T, bias=True)
+    assert mu == pytest.approx(x.mean(0)) and np.trace(np.linalg.inv(inverse)) == pytest.approx(np.trace(cov))
+    v = x - mu
+    assert np.einsum("ij,jk,ik->i", v, inverse, v).mean() == pytest.approx(6, rel=0.15)
+    assert lead.shape[1] < 6 and lead.T @ lead == pytest.approx(np.eye(lead.shape[1]))
+    assert (((v - v @ lead @ lead.T) ** 2).sum(1).mean()) < 0.25 * (v**2).sum(1).mean()

@@ -79,3 +79,12 @@ def test_passive_metrics(spark):
     top = passive.top_values(observations(spark, [BASE | {"dst_port": p} for p in range(70) for _ in range(1 + (p < 3))]), F.col("dst_port").cast("string"), 60).collect()
     assert len(top) == 65 and {x.value: x.n for x in top}["__other__"] == 6 and sum(x.n for x in top) == 73
     assert passive.tls_metrics(observations(spark, []), 60).count() == 0
+
+
+def test_crowded_places_of_a_tree(spark):
+    from tidemark.operators.urls import templates
+
+    paths = [f"/u/n{k}name/x" for k in range(50) for _ in range(3)] + ["/u/7/x"] * 3 + ["/a/b/c/d"] * 3 + ["/once"] + [""]
+    rows = spark.createDataFrame([(i, "h", p) for i, p in enumerate(paths)], "i int, host string, p string").withColumn("segs", net.path_segments(F.col("p")))
+    got = [r.template for r in templates(rows, ["host"], "segs", depth=3).orderBy("i").collect()]
+    assert set(got[:153]) == {"/u/{var}/x"} and got[153:] == ["/a/b/c/{var}"] * 3 + ["/{var}", "/"]

@@ -69,10 +69,22 @@ def bb_pmf(k, n, a, b) -> np.ndarray:
     return np.exp(gammaln(n + 1) - gammaln(k + 1) - gammaln(n - k + 1) + beta(k + a, n - k + b) - beta(a, b))
 
 
-def bb_midp(k: int, n: int, a: float, b: float) -> float:
-    """Upper mid-p of a beta-binomial."""
-    tail = bb_pmf(np.arange(int(k), int(n) + 1), n, a, b)
-    return float(np.clip(tail.sum() - 0.5 * tail[0], 1e-300, 1.0))
+def bb_midp(k, n, a, b, chunk: int = 1 << 20) -> np.ndarray:
+    """Upper mid-p of beta-binomials: the shorter tail of each is summed, all of them in one pass over `chunk` terms."""
+    k, n, a, b = (np.atleast_1d(np.asarray(x, float)) for x in np.broadcast_arrays(k, n, a, b))
+    upper = k > n / 2
+    first, last = np.where(upper, k, 0), np.where(upper, n, k)
+    size = (last - first + 1).astype(np.int64)
+    tail, at = np.empty(len(k)), 0
+    while at < len(k):
+        end = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), chunk, side="right")) + at)
+        own = np.arange(at, end)
+        of, start = np.repeat(own, size[own]), np.cumsum(size[own]) - size[own]
+        j = np.arange(len(of)) - np.repeat(start, size[own]) + first[of]
+        tail[own] = np.add.reduceat(bb_pmf(j, n[of], a[of], b[of]), start)
+        at = end
+    half = 0.5 * bb_pmf(k, n, a, b)
+    return np.clip(np.where(upper, tail - half, 1 - tail + half), 1e-300, 1.0)
 
 
 def t_sf(x, df) -> np.ndarray:

@@ -103,7 +103,7 @@ SELECT entity, n, ROUND((3 - s + SQRT(POWER(s - 3, 2) + 24 * s)) / (12 * s), 5)
 
 plan("loading_beta", """
 WITH x AS (SELECT system, entity, day, CAST(COUNT(*) AS DOUBLE) AS n FROM {obs} o GROUP BY system, entity, day), l AS (SELECT system, day, AVG(n) AS l FROM x GROUP BY system, day), c AS (SELECT system, AVG(n) AS mu FROM x GROUP BY system),
-z AS (SELECT x.system, entity, POWER(2e0, -(19753 - x.day) / 7e0) AS w, l - mu AS l, n - mu AS z FROM x JOIN l ON x.system = l.system AND x.day = l.day JOIN c ON c.system = x.system)
+z AS (SELECT x.system, entity, POWER(2e0, -((SELECT MAX(day) FROM {obs} e) - x.day) / 7e0) AS w, l - mu AS l, n - mu AS z FROM x JOIN l ON x.system = l.system AND x.day = l.day JOIN c ON c.system = x.system)
 SELECT system, entity, ROUND(GREATEST(0e0, LEAST(2e0, (SUM(w * l * z) + 4) / (SUM(w * l * l) + 4))), 6) AS beta FROM z GROUP BY system, entity""")
 
 plan("risk_decayed_load", """
@@ -136,7 +136,7 @@ m AS (SELECT lang, (1e0 + SUM(tp)) / (2e0 + SUM(tp) + SUM(fp)) AS mean FROM f GR
 SELECT f.source, f.lang, ROUND((tp + 2 * mean) / (tp + fp + 2), 6) AS precision_key, ROUND(GREATEST(0.2e0, LEAST(1e0, mean / 0.5e0)), 6) AS multiplier FROM f JOIN m ON f.lang = m.lang""")
 
 plan("portrait_version_diff", """
-WITH n AS (SELECT entity, token, COUNT(CASE WHEN day < 19738 THEN 1 END) AS old_n, COUNT(CASE WHEN day >= 19738 THEN 1 END) AS new_n FROM {obs} o GROUP BY entity, token),
+WITH v AS (SELECT CAST(FLOOR((MIN(day) + MAX(day)) / 2e0) AS BIGINT) AS mid FROM {obs} o), n AS (SELECT entity, token, COUNT(CASE WHEN day < mid THEN 1 END) AS old_n, COUNT(CASE WHEN day >= mid THEN 1 END) AS new_n FROM {obs} o CROSS JOIN v GROUP BY entity, token),
 s AS (SELECT entity, token, old_n / CAST(NULLIF(SUM(old_n) OVER (PARTITION BY entity), 0) AS DOUBLE) AS a, new_n / CAST(NULLIF(SUM(new_n) OVER (PARTITION BY entity), 0) AS DOUBLE) AS b FROM n)
 SELECT entity, token, ROUND(COALESCE(a, 0), 6) AS old_share, ROUND(COALESCE(b, 0), 6) AS new_share, CASE WHEN COALESCE(a, 0) = 0 THEN 'added' WHEN COALESCE(b, 0) = 0 THEN 'removed' ELSE 'kept' END AS change FROM s""")
 

@@ -51,7 +51,7 @@ def bb_midp(spark, sf_dir):
 
     @F.pandas_udf("double")
     def midp(k: pd.Series, n: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([dist.bb_midp(*row) for row in zip(k, n, a, b)])
+        return pd.Series(dist.bb_midp(k, n, a, b))
 
     d = run(spark, sf_dir, _DAYS)
     return d.select("entity", "day", F.round(midp("e", "n", F.col("e0") + 0.5, F.col("n0") - F.col("e0") + 2.0), 9).alias("p"))
@@ -89,12 +89,14 @@ def bocpd(x: np.ndarray, hazard: float = 1 / 168, most: int = 200) -> np.ndarray
 
 @query("bocpd_prob")
 def bocpd_prob(spark, sf_dir):
-    """Change-point probability of each system's hourly counts, standardised."""
+    """Change-point probability of each system's hourly counts, each standardised by the hours before it."""
     hours = run(spark, sf_dir, "SELECT system, hour, CAST(COUNT(*) AS DOUBLE) AS n FROM {obs} o GROUP BY system, hour")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hour")
-        z = ((pdf.n - pdf.n.mean()) / max(pdf.n.std(ddof=0), 1e-9)).clip(-6, 6)
+        before = pdf.n.expanding()
+        mean, spread = before.mean().shift(), before.std(ddof=0).shift()
+        z = ((pdf.n - mean) / spread.clip(lower=1.0)).fillna(0.0).clip(-6, 6)
         return pd.DataFrame({"system": pdf.system, "hour": pdf.hour, "p_change": np.round(bocpd(z.to_numpy()), 9)})
 
     return hours.groupBy("system").applyInPandas(one, "system string, hour long, p_change double")
@@ -120,48 +122,53 @@ def beacon_renewal_lrt(spark, sf_dir):
     return stats.select("entity", "n", fit("n", "m", "l").alias("f")).select("entity", "n", "f.kappa", "f.lr")
 
 
+def shrunk(n: float, s: np.ndarray, ss: np.ndarray, kept: float = 0.9):
+    """mean, inverse of the covariance shrunk towards its mean variance, and the leading directions that hold `kept` of the
+    variance, from a number of rows, their sum and the sum of their products."""
+    mu, d = s / n, len(s)
+    cov = ss / n - np.outer(mu, mu)
+    trace, square = np.trace(cov), (cov * cov).sum()
+    rho = min(1.0, ((1 - 2 / d) * square + trace**2) / max((n + 1 - 2 / d) * (square - trace**2 / d), 1e-12))
+    shrunken = (1 - rho) * cov + rho * trace / d * np.eye(d)
+    values, vectors = np.linalg.eigh(shrunken)
+    share = np.cumsum(values[::-1]) / values.sum()
+    return mu, np.linalg.inv(shrunken), vectors[:, ::-1][:, : int(np.searchsorted(share, kept)) + 1]
+
+
 @query("oas_t2_spe")
 def oas_t2_spe(spark, sf_dir):
-    """Hotelling's T squared of every vector within its label, by covariances shrunk towards their mean variance.
+    """Of every vector within its label: Hotelling's T squared by a shrunk covariance, its p as a new point's (null where a
+    label has too few rows), and the squared error that the leading directions leave.
 
-    Means and covariances are aggregated in the cluster (64 x 64 numbers a label); vectors meet their label's
-    inverse in a broadcast of those."""
+    Moments are summed in the cluster, first in each batch, then by label; vectors meet their label's model, a few
+    thousand numbers, in the task that scores them, a label at a time."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
 
     def parts(batches):
         for pdf in batches:
             for label, own in pdf.groupby("label"):
                 x = np.stack(own.x.to_list())
-                yield pd.DataFrame({"label": [label], "n": [len(x)], "s": [x.sum(0)], "ss": [(x.T @ x).ravel()]})
-
-    moments = vectors.mapInPandas(parts, "label int, n long, s array<double>, ss array<double>")
-    table: dict[int, list] = {}
-    for r in moments.toLocalIterator():  # one small row a label and batch
-        have = table.setdefault(r.label, [0, 0.0, 0.0])
-        have[0] += r.n
-        have[1] = have[1] + np.array(r.s)
-        have[2] = have[2] + np.array(r.ss)
+                yield pd.DataFrame({"label": [label], "m": [np.concatenate([[len(x)], x.sum(0), (x.T @ x).ravel()])]})
+
+    moments = vectors.mapInPandas(parts, "label int, m array<double>").select("label", F.posexplode("m").alias("at", "v")).groupBy("label", "at").agg(F.sum("v").alias("v"))
     models = {}
-    for label, (n, s, ss) in table.items():
-        mu = s / n
-        d = len(mu)
-        cov = ss.reshape(d, d) / n - np.outer(mu, mu)
-        trace, square = np.trace(cov), (cov * cov).sum()
-        rho = min(1.0, ((1 - 2 / d) * square + trace**2) / max((n + 1 - 2 / d) * (square - trace**2 / d), 1e-12))
-        models[label] = (mu, np.linalg.inv((1 - rho) * cov + rho * trace / d * np.eye(d)), n)
+    for r in moments.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).getField("v").alias("m")).toLocalIterator():  # one row a label
+        m = np.array(r.m)
+        d = int((np.sqrt(4 * len(m) - 3) - 1) / 2)
+        models[r.label] = (m[0], *shrunk(m[0], m[1 : 1 + d], m[1 + d :].reshape(d, d)))
 
     def score(batches):
         for pdf in batches:
-            t2, p = [], []
-            for label, x in zip(pdf.label, pdf.x):
-                mu, inverse, n = models[label]
-                v = np.asarray(x) - mu
+            for label, own in pdf.groupby("label"):
+                n, mu, inverse, lead = models[label]
+                v = np.stack(own.x.to_list()) - mu
                 d = len(mu)
-                t2.append(float(v @ inverse @ v))
-                p.append(float(dist.f_sf(t2[-1] * (n - d) / (d * (n - 1)), d, n - d)) if n > d + 1 else None)
-            yield pd.DataFrame({"vec_id": pdf.vec_id, "t2": np.round(t2, 6), "p": p})
+                t2 = np.einsum("ij,jk,ik->i", v, inverse, v)
+                p = dist.f_sf(t2 * n * (n - d) / (d * (n - 1) * (n + 1)), d, n - d) if n > d + 1 else [None] * len(v)
+                spe = ((v - v @ lead @ lead.T) ** 2).sum(1)
+                yield pd.DataFrame({"vec_id": own.vec_id.to_numpy(), "t2": np.round(t2, 6), "p": p, "spe": np.round(spe, 6)})
 
-    return vectors.mapInPandas(score, "vec_id long, t2 double, p double")
+    return vectors.mapInPandas(score, "vec_id long, t2 double, p double, spe double")
 
 
 @query("bayesian_blocks")
