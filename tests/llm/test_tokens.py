@@ -108,6 +108,20 @@ def test_columns_are_priced_over_a_smooth_histogram(monkeypatch):
     assert len(rounds) > 20 and cost < 1.005 * sum(k * v for k, v in h.items())
 
 
+@pytest.mark.parametrize("seed", [3, 12, 31, 35])
+def test_pivots_keep_the_basis(seed):
+    """Histograms with many ties, whose basis became singular by pivots on what rounding had left."""
+    lengths = np.random.default_rng(seed).lognormal(5, 1, 400).astype(int) % 1024
+    h = dict(zip(*(a.tolist() for a in np.unique(lengths[lengths > 0], return_counts=True))))
+    plan, used = packing.patterns(h), {}
+    for pattern, times in plan:
+        assert sum(k * c for k, c in pattern.items()) <= 1024 and times > 0
+        for k, c in pattern.items():
+            used[k] = used.get(k, 0) + c * times
+    cost = sum(packing.padded(sum(k * c for k, c in p.items())) * n for p, n in plan)
+    assert used == h and cost < 1.05 * sum(k * v for k, v in h.items())
+
+
 def test_every_segmentation_with_its_probability():
     """More samples than there are paths: all of them, by falling probability-weighted noise, none twice."""
     own = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"), 1.0)

@@ -25,7 +25,9 @@ from tidemark.llm.tokens import encoder, vocabulary
 
 CAPACITY = 1024
 END_ID = 0
-_FRESH = 256  # pivots after which the basis is inverted anew
+_FRESH = 256  # pivots after which the basis is inverted anew, fewer once that many lost it
+_HELD = 32  # pivots that are kept beside the inverse before it is changed by all of them at once
+_SMALL = 1e-7  # entries below aren't pivoted on: rounding alone can leave as much, and then the basis is singular
 
 
 def padded(total: int, capacity: int = CAPACITY) -> int:
@@ -35,15 +37,15 @@ def padded(total: int, capacity: int = CAPACITY) -> int:
 
 def _priced(lengths: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """value[s]: the largest sum of duals of lengths that add up to s exactly; item[s]: the last of them."""
-    value, item = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -1)
-    value[0] = 0.0
-    ends = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
+    back, item = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -1)  # back[capacity - s] is value[s]
+    back[capacity] = 0.0
+    dual, place = np.full(capacity + 1, -np.inf), np.full(capacity + 1, -1)
+    dual[lengths], place[lengths] = duals, np.arange(len(lengths))
     for s in range(1, capacity + 1):
-        if n := ends[s]:
-            worth = value[s - lengths[:n]] + duals[:n]
-            k = int(worth.argmax())
-            value[s], item[s] = worth[k], k
-    return value, item
+        worth = back[capacity - s + 1 :] + dual[1 : s + 1]
+        k = worth.argmax()
+        back[capacity - s], item[s] = worth[k], place[k + 1]
+    return back[::-1].copy(), item
 
 
 def _columns(lengths, duals, cost, capacity, most=24):
@@ -66,9 +68,10 @@ def _columns(lengths, duals, cost, capacity, most=24):
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int | None = None, gap: float = 0.0) -> list[tuple[dict[int, int], int]]:
     """Patterns ({length: copies}, times) that use up the histogram exactly.
 
-    The linear program ends when no pattern improves it, nothing is padded, or its value hasn't fallen for as many
-    rounds of pricing as there are lengths. `gap` (a share of all ids that padding may take) and `pivots` end it
-    sooner; what it says then is still a feasible plan, only with a little more padding.
+    The linear program ends when no pattern improves it, its padding is less than one sequence, so that no more than
+    that is to be gained, or its value hasn't fallen for as many rounds of pricing as there are lengths. `gap` (a
+    share of all ids that padding may take) and `pivots` end it sooner; what it says then is still a feasible plan,
+    only with a little more padding. So it is where rounding loses the basis however often it is inverted.
     """
     histogram = {int(k): int(v) for k, v in histogram.items() if v > 0}
     if not histogram:
@@ -92,50 +95,76 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int |
             del over[k]
         basis += [({place[k]: 1}, float(cost[k])) for k in ended[1:]]
         x += [0.0] * len(ended[1:])
-    x = np.array(x)
     demand = np.array([float(histogram[int(k)]) for k in lengths])
 
-    def inverted() -> np.ndarray:
+    def inverted() -> tuple[np.ndarray, np.ndarray] | None:
+        """The basis inverted and what it takes of each pattern; None where rounding has lost it."""
         matrix = np.zeros((m, m))
         for j, (column, _) in enumerate(basis):
             matrix[list(column), j] = list(column.values())
-        return np.linalg.inv(matrix)
-
-    inverse = inverted()
+        try:
+            inverse = np.linalg.inv(matrix)
+        except np.linalg.LinAlgError:
+            return None
+        x = inverse @ demand
+        if not np.abs(matrix @ x - demand).max() <= 1e-6 * demand.max() or x.min() < -1e-6 * demand.max():
+            return None
+        return inverse, np.maximum(x, 0)
+
+    inverse, x = inverted()
     duals = np.array([c for _, c in basis]) @ inverse
-    done, since, stalled, best = 0, 0, 0, np.inf
+    sound, fresh = list(basis), _FRESH
+    done, since, stalled, best, held, lost = 0, 0, 0, np.inf, 0, 0
+    ways, rows_held = np.zeros((m, _HELD)), np.zeros((_HELD, m))  # the inverse now is inverse - ways @ rows_held
     while pivots is None or done < pivots:
         value = sum(c * v for (_, c), v in zip(basis, x))
-        stalled = 0 if value < best * (1 - 1e-12) else stalled + 1
+        stalled = 0 if value < best * (1 - 1e-9) else stalled + 1
         best = min(best, value)
-        if value <= (1 + max(gap, 1e-12)) * bound or stalled > m:
-            break
+        enough = value < bound + max(gap * bound, capacity) or stalled > m
         moved = False
-        for column, price in _columns(lengths, duals, cost, capacity):
+        for column, price in [] if enough else _columns(lengths, duals, cost, capacity):
             at, copies = list(column), np.array(list(column.values()), float)
             reduced = price - duals[at] @ copies
             if reduced >= -1e-7 * capacity:
                 continue
-            way = inverse[:, at] @ copies
-            rows = np.flatnonzero(way > 1e-9)
+            way = inverse[:, at] @ copies - ways[:, :held] @ (rows_held[:held, at] @ copies)
+            rows = np.flatnonzero(way > _SMALL)
+            if not len(rows):
+                continue
+            # of the rows that end first, but for rounding, the one with the largest entry
             ratio = x[rows] / way[rows]
-            row = int(rows[ratio.argmin()])
+            rows = rows[ratio <= ((x[rows] + 1e-9) / way[rows]).min()]
+            row = int(rows[way[rows].argmax()])
             step = x[row] / way[row]
             x -= step * way
             x[row] = step
             np.maximum(x, 0, out=x)
-            pivot = inverse[row] / way[row]
-            inverse -= np.outer(way, pivot)
-            inverse[row] = pivot
+            pivot = (inverse[row] - ways[row, :held] @ rows_held[:held]) / way[row]
+            ways[:, held], rows_held[held] = way, pivot
+            ways[row, held] -= 1
+            held += 1
+            if held == _HELD:
+                inverse -= ways @ rows_held
+                held = 0
             basis[row] = (column, price)
             duals += reduced * pivot
             done, since, moved = done + 1, since + 1, True
+            if since >= fresh:
+                break
+        if since and (since >= fresh or not moved):
+            # no end is believed before the basis was inverted anew; one that rounding has lost is taken back
+            anew = inverted()
+            if anew is None:
+                basis, moved = list(sound), fresh > 1
+                fresh, best, lost = max(1, fresh // 4), np.inf, lost + 1
+                anew = inverted()
+            else:
+                sound, moved = list(basis), not enough
+                fresh = min(_FRESH, 2 * fresh) if lost < _HELD else fresh
+            (inverse, x), since, held = anew, 0, 0
+            duals = np.array([c for _, c in basis]) @ inverse
         if not moved:
             break
-        if since >= _FRESH:
-            inverse, since = inverted(), 0
-            duals = np.array([c for _, c in basis]) @ inverse
-            x = np.maximum(inverse @ demand, 0)
     out, left = [], dict(histogram)
     for (column, _), times in sorted(zip(basis, x), key=lambda b: -b[1]):
         pattern = {int(lengths[k]): c for k, c in column.items()}
