@@ -66,3 +66,18 @@ def test_without_the_optional_parts(tmp_path):
         code = "import __spark_entry__ as e; print(*sorted(e.queries())); print(*sorted(e.oracle_sql()))"
         out = subprocess.run([sys.executable, "-c", code], cwd=copy, env=os.environ | {"PYTHONPATH": str(copy)}, capture_output=True, text=True, check=True).stdout
         assert [set(line.split()) for line in out.splitlines()] == [set(workload.QUERIES), set(workload.ORACLES)]
+
+
+def test_incidents_are_named_by_the_millisecond_of_their_statement(spark, tmp_path):
+    """Times within a millisecond, halves among them, compared to the last digit."""
+    from pyspark.sql import functions as F
+
+    micros = [1_704_376_780_895_561, 1_704_376_780_895_499, 1_704_376_780_895_500, 1_500, 1_499, 499, 172_800_000_500, 345_600_001_499]
+    rows = [(k, u, 3 * (k % 4), "error", 1.0) for k, u in enumerate(micros)]
+    events = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double")
+    events.select("event_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts"), "user_id", "event_type", "value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    for name in ("stream_incidents", "stream_first_sightings"):
+        got = workload.QUERIES[name](spark, str(tmp_path))
+        assert sorted(tuple(r) for r in got.collect()) == sorted(con.sql(f"SELECT {', '.join(got.columns)} FROM ({workload.ORACLES[name]})").fetchall())

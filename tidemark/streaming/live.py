@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -21,6 +21,11 @@ from tidemark.session import shared_folder
 GAP_MS = 172_800_000
 
 
+def _millis(ts: str) -> Column:
+    """Milliseconds of a time as DuckDB's epoch_ms has them: the nearest, halves away from zero."""
+    return F.expr(f"(unix_micros({ts}) + if(unix_micros({ts}) < 0, -500, 500)) div 1000")
+
+
 def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`events` as a stream of files, a watermark of one hour on the event time."""
     path = f"{sf_dir}/events.parquet"
@@ -57,7 +62,7 @@ def incidents(rows: DataFrame, gap_ms: int = GAP_MS) -> DataFrame:
         state.update((opened, last))
         _forget(state, last + gap_ms)
 
-    found = rows.where("event_type = 'error'").withColumn("ms", F.unix_millis("ts"))
+    found = rows.where("event_type = 'error'").withColumn("ms", _millis("ts"))
     return found.groupBy("system", "entity").applyInPandasWithState(merge, "system string, entity long, incident long, event_id long", "opened long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -94,7 +99,7 @@ def first_sightings(rows: DataFrame, ttl_ms: int = GAP_MS) -> DataFrame:
         state.update((last,))
         _forget(state, last + ttl_ms)
 
-    found = rows.withColumn("ms", F.unix_millis("ts"))
+    found = rows.withColumn("ms", _millis("ts"))
     return found.groupBy("entity", "event_type").applyInPandasWithState(look, "event_id long, is_new boolean", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
@@ -120,7 +125,7 @@ def decayed_counters(rows: DataFrame, half_life_ms: int = GAP_MS) -> DataFrame:
         state.update((value, at))
         _forget(state, at + int(half_life_ms * (20 + np.log2(max(value, 1.0)))))
 
-    found = rows.withColumn("ms", F.unix_millis("ts"))
+    found = rows.withColumn("ms", _millis("ts"))
     return found.groupBy("entity").applyInPandasWithState(count, "event_id long, entity long, decayed double", "value double, at long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
