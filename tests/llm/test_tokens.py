@@ -108,10 +108,10 @@ def test_columns_are_priced_over_a_smooth_histogram(monkeypatch):
     assert len(rounds) > 20 and cost < 1.005 * sum(k * v for k, v in h.items())
 
 
-@pytest.mark.parametrize("seed", [3, 12, 31, 35])
-def test_pivots_keep_the_basis(seed):
-    """Histograms with many ties, whose basis became singular by pivots on what rounding had left."""
-    lengths = np.random.default_rng(seed).lognormal(5, 1, 400).astype(int) % 1024
+@pytest.mark.parametrize("seed, mean, spread, n", [(3, 5, 1, 400), (12, 5, 1, 400), (31, 5, 1, 400), (35, 5, 1, 400), (0, 1.5, 1.5, 5000), (2, 3, 1.5, 5000)])
+def test_pivots_keep_the_basis(seed, mean, spread, n):
+    """Histograms whose basis became singular by pivots on what rounding had left, or is too far from even at the start."""
+    lengths = np.random.default_rng(seed).lognormal(mean, spread, n).astype(int) % 1024
     h = dict(zip(*(a.tolist() for a in np.unique(lengths[lengths > 0], return_counts=True))))
     plan, used = packing.patterns(h), {}
     for pattern, times in plan:

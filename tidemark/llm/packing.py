@@ -111,7 +111,11 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int |
             return None
         return inverse, np.maximum(x, 0)
 
-    inverse, x = inverted()
+    start = inverted()
+    if start is None:  # counts that follow from one another can make numbers too far apart: each length by itself
+        basis = [({k: 1}, float(cost[n])) for k, n in enumerate(lengths)]
+        start = inverted()
+    inverse, x = start
     duals = np.array([c for _, c in basis]) @ inverse
     sound, fresh = list(basis), _FRESH
     done, since, stalled, best, held, lost = 0, 0, 0, np.inf, 0, 0
@@ -173,7 +177,9 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int |
             out.append((pattern, n))
             for k, c in pattern.items():
                 left[k] -= n * c
-    return out + _greedy(left, capacity)
+    out += _greedy(left, capacity)
+    paid = lambda plan: sum(n * cost[sum(k * c for k, c in pattern.items())] for pattern, n in plan)
+    return min(out, _greedy(histogram, capacity), key=paid)
 
 
 def _filled(left: dict[int, float], capacity: int) -> dict[int, int]:
