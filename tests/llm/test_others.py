@@ -47,6 +47,22 @@ def test_bounds_stop_early_and_right(spread):
     assert early.mean() > 0.9 and (read / rows.size).mean() < 0.75 and np.median(resolved) <= 5 * topk.LEFT
 
 
+def test_first_lists_leave_few_to_read_by_query():
+    """Many queries at once, in single and double precision, few rows and ties; few places are left for later rounds."""
+    rng = np.random.default_rng(5)
+    for n, d, scale in ((6000, 64, 256), (3, 64, 256), (70, 1, 9), (900, 7, 2), (900, 16, 1 << 19)):
+        rows = rng.normal(0, 1, (n, d))
+        rows = np.floor(scale * rows / np.linalg.norm(rows, axis=1)[:, None]).astype(np.int64)
+        own = np.arange(n)[:: max(1, n // 50)]
+        for (places, scores), i in zip(topk.top_of_block(rows[own], rows, own, 5), own):
+            every = np.delete(rows @ rows[i], i)
+            least = np.sort(every)[-min(5, n - 1)]
+            assert sorted(scores) == sorted(every[every >= least]) and i not in places
+        if n == 6000:
+            begun = topk.Lists(rows, np.float32, topk.DEPTH, 1 << 22).begun(rows[own], own, 5, 44)
+            assert np.median([len(b[1]) for b in begun]) < n / 10
+
+
 def test_scores_beyond_a_long_are_its_ends():
     rows = np.array([[2**62, 5], [-(2**63), 1], [3, 2**61]])
     [(places, scores)] = topk.top_of_block(rows[:1], rows, np.array([0]), 2)

@@ -9,7 +9,8 @@ frontier at `DEPTH` of its length. Of a candidate the entries seen so far give a
     in the lists not read   at most what their heads would give, and, by Cauchy-Schwarz, no more than the query's
                             rest times the norm that the entries seen leave; at least minus that
 
-Candidates whose upper bound is under the k-th largest lower bound are outsiders and are read no further. Reading
+Candidates whose upper bound is under the k-th largest lower bound are outsiders and are read no further. The first
+lists, up to the first comparison, are read for `CHUNK` queries at once, what is left for each query by itself. Reading
 stops for a query when `LEFT` candidates for each of k are left, or all lists are read; the scores of those left are
 then resolved exactly.
 
@@ -27,13 +28,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.shared import with_row
 
-BLOCK = 8192
-BATCH = 1024
+BLOCK = 16384
+BATCH = 16384
+#: Queries whose first lists are read at once.
+CHUNK = 32
 SCALE = 256
 #: How much of a list is read before its frontier bounds the rest; shares of the lists after which bounds are
 #: compared; how many candidates for each of k may be left to resolve.
 DEPTH = 15 / 16
-ROUNDS = (1 / 2, 5 / 8, 3 / 4, 7 / 8, 15 / 16)
+ROUNDS = (11 / 16, 3 / 4, 7 / 8, 15 / 16)
 LEFT = 16
 _LONG = (-(1 << 63), (1 << 63) - 1)
 
@@ -41,7 +44,9 @@ _LONG = (-(1 << 63), (1 << 63) - 1)
 class Lists:
     """The sorted lists of a block of candidates, in both directions: 0 for queries above 0, 1 for those below."""
 
-    def __init__(self, rows: np.ndarray, kind, depth: float):
+    def __init__(self, rows: np.ndarray, kind, depth: float, bound: int):
+        # rounding, of sums that may be in single precision: those of scores, and of squares under a root
+        self.slack = 0.5 + (1e-6 * bound if kind is np.float32 else 0)
         column = np.ascontiguousarray(rows.T.astype(kind))
         ordered = np.sort(column, axis=1)
         n = column.shape[1]
@@ -51,21 +56,55 @@ class Lists:
         seen = np.stack([column >= frontier[0][:, None], column <= frontier[1][:, None]])
         self.most = np.stack([np.maximum(column, frontier[0][:, None]), np.minimum(column, frontier[1][:, None])])
         self.least = np.stack([np.where(s, column, e[:, None]) for s, e in zip(seen, end)])
-        self.square = np.where(seen, column.astype(float) ** 2, 0.0)
+        self.square = np.where(seen, column**2, 0)
         self.norm = (column.astype(float) ** 2).sum(0)
 
-    def survivors(self, query: np.ndarray, own: int, k: int, rounds, left: int) -> tuple[np.ndarray, int, bool]:
+    def begun(self, queries: np.ndarray, own: np.ndarray, k: int, stop: int):
+        """The first `stop` lists of many queries at once, as matrix products in which a query has zeros at the lists
+        that it doesn't read. Yields for each query: its lists in order, the places whose upper bound isn't under
+        the k-th largest lower bound, and of those the sums seen so far (high, low, squares)."""
+        n, d = len(self.norm), queries.shape[1]
+        kind = self.head.dtype
+        for a in range(0, len(queries), CHUNK):
+            some, mine = queries[a : a + CHUNK], own[a : a + CHUNK]
+            order = np.argsort(-np.abs(some), axis=1, kind="stable")
+            taken = np.zeros(some.shape, bool)
+            np.put_along_axis(taken, order[:, :stop], True, axis=1)
+            below = some < 0
+            of = [(taken & ~below), (taken & below)]
+            weight = [np.where(t, some, 0).astype(kind) for t in of]
+            high = weight[0] @ self.most[0] + weight[1] @ self.most[1]
+            low = weight[0] @ self.least[0] + weight[1] @ self.least[1]
+            seen = of[0].astype(kind) @ self.square[0] + of[1].astype(kind) @ self.square[1]
+            rest = np.where(taken, 0, some).astype(float)
+            heads = (np.where(below, rest * self.head[1], rest * self.head[0])).sum(1).astype(kind)
+            reach = np.maximum(self.norm.astype(kind) - seen, 0)
+            reach *= (rest**2).sum(1).astype(kind)[:, None]
+            np.sqrt(reach, out=reach)
+            reach *= 1 + 1e-9
+            lower = low - reach
+            upper = high + np.minimum(reach, heads[:, None])
+            there = np.flatnonzero(mine >= 0)
+            lower[there, mine[there]] = upper[there, mine[there]] = -np.inf
+            # the k-th largest of the largest of each group isn't above the k-th largest of all
+            width = max(1, n // max(64, 8 * k))
+            least = np.maximum.reduceat(lower, np.arange(0, n, width), axis=1)
+            least = np.partition(least, least.shape[1] - k, axis=1)[:, least.shape[1] - k] if least.shape[1] >= k else np.full(len(some), -np.inf)
+            keep = upper >= (least - self.slack)[:, None]
+            keep[there, mine[there]] = False
+            for i in range(len(some)):
+                alive = np.flatnonzero(keep[i])
+                yield order[i], alive, high[i, alive].astype(float), low[i, alive].astype(float), seen[i, alive].astype(float)
+
+    def survivors(self, query: np.ndarray, begun, k: int, stops: list[int], left: int) -> tuple[np.ndarray, int, bool]:
         """Places that may hold the k best, entries read, and whether reading stopped before the last list."""
         n, d = len(self.norm), len(query)
-        order = np.argsort(-np.abs(query), kind="stable")
+        order, alive, high, low, seen = begun
         way = (query < 0).astype(int)
         heads = (query * self.head[way, np.arange(d)]).astype(float)
-        alive = np.arange(n)
-        alive = alive[alive != own]
-        high, low, seen = np.zeros(len(alive)), np.zeros(len(alive)), np.zeros(len(alive))
-        read, at = 0, 0
-        stops = [max(1, round(d * r)) for r in rounds]
-        for stop in [*stops, d]:
+        at = stops[0]
+        read = at * n
+        for stop in [*stops[1:], d]:
             lists = order[at:stop]
             if len(alive) <= left * k or not len(lists):
                 break
@@ -79,7 +118,7 @@ class Lists:
             upper = high + np.minimum(reach, heads[rest].sum())
             lower = low - reach
             least = np.partition(lower, len(alive) - k)[len(alive) - k] if len(alive) > k else -np.inf
-            keep = upper >= least - 0.5  # scores are whole numbers: half of one covers rounding
+            keep = upper >= least - self.slack  # scores are whole numbers: half of one covers rounding
             alive, high, low, seen = alive[keep], high[keep], low[keep], seen[keep]
         return alive, read, at < d
 
@@ -92,15 +131,18 @@ def top_of_block(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, k: int,
     are resolved without bounds; scores beyond the range of a long are its ends.
     """
     n, d = rows.shape
-    bound = max(1, int(np.abs(queries.astype(object)).max(initial=0))) * max(1, int(np.abs(rows.astype(object)).max(initial=0))) * max(1, d)
-    lists = Lists(rows, np.float32 if bound < 1 << 24 else np.float64, depth) if n and d and bound < 1 << 50 else None
+    size = max(1, *(int(max(x.max(initial=0), -int(x.min(initial=0)))) for x in (queries, rows)))
+    bound = size * size * max(1, d)
+    lists = Lists(rows, np.float32 if bound < 1 << 24 else np.float64, depth, bound) if n and d and bound < 1 << 50 else None
     whole = rows if bound < 1 << 62 else rows.astype(object)
     result = []
+    stops = [max(1, round(d * r)) for r in rounds]
+    begun = lists.begun(queries, own, k, stops[0]) if lists else None
     for q, mine in zip(queries, own):
         if lists is None:
             places, read, early = np.flatnonzero(np.arange(n) != mine), n * d, False
         else:
-            places, read, early = lists.survivors(q, int(mine), k, rounds, left)
+            places, read, early = lists.survivors(q, next(begun), k, stops, left)
         if seen is not None:
             seen.append((read, early, len(places)))
         scores = whole[places] @ (q if whole is rows else q.astype(object))
