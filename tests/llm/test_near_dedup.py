@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 
 from tests_llm_odd import ODD
+from tidemark.llm import near_dedup
 from tidemark.llm.near_dedup import Shingler, drop_near, linked, near_groups, sub_bands
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -78,3 +79,15 @@ def test_sub_bands_meet_as_often_as_sets_overlap():
     assert np.mean(hits) == pytest.approx((300 / 450) ** 2, abs=0.03)
     assert linked(np.array([3]), 4, 3, 75)[0] and not linked(np.array([2]), 3, 3, 75)[0]
     assert len(Shingler()("a b c")) == 1 and len(Shingler()(" \n")) == 0
+
+
+def test_pairs_of_a_block_as_one_matrix():
+    """Pairs that share a sub-band of the second collection, and none before the i-th of the first."""
+    rng = np.random.default_rng(7)
+    one, other = rng.integers(0, 4, (30, 6)), rng.integers(0, 4, (40, 6))
+    for i in range(3):
+        found = near_dedup.shared_pairs(one, other, i, 3)
+        for x, a in enumerate(one):
+            for y, b in enumerate(other):
+                assert found[x, y] == ((a[3:] == b[3:]).any() and not (a[:i] == b[:i]).any())
+    assert near_dedup._constants(48, 2) is near_dedup._constants(48, 2)  # made once, not for each text
