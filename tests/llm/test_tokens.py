@@ -122,6 +122,21 @@ def test_pivots_keep_the_basis(seed, mean, spread, n):
     assert used == h and cost < 1.05 * sum(k * v for k, v in h.items())
 
 
+def test_small_steps_dont_hold_up_the_programme(monkeypatch):
+    """Histograms over which pivots alone priced patterns thousands of times, or stalled above the least padding."""
+    price = packing._columns
+    for n, top in ((60_000, 1024), (1000, 700)):
+        lengths, rounds = np.random.default_rng(1).gamma(2, 240, n).astype(int) % top, []
+        h = dict(zip(*(a.tolist() for a in np.unique(lengths[lengths > 0], return_counts=True))))
+        monkeypatch.setattr(packing, "_columns", lambda *a: rounds.append(0) or (len(rounds) <= 500 or pytest.fail("too many rounds")) and price(*a))  # noqa: B023
+        plan, used = packing.patterns(h), {}
+        for pattern, times in plan:
+            for k, c in pattern.items():
+                used[k] = used.get(k, 0) + c * times
+        cost = sum(packing.padded(sum(k * c for k, c in p.items())) * n for p, n in plan)
+        assert used == h and cost < sum(k * v for k, v in h.items()) + 4 * 1024
+
+
 def test_every_segmentation_with_its_probability():
     """More samples than there are paths: all of them, by falling probability-weighted noise, none twice."""
     own = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"), 1.0)

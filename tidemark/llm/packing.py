@@ -2,8 +2,9 @@
 
 Every document is cut into pieces of `capacity` ids and one shorter rest. How often each length occurs is all
 that the linear program sees: a column is a pattern, the lengths that share a sequence; a pattern costs what its
-sequence takes when padded. A knapsack dynamic programme prices new patterns by the duals until none helps. The
-rounded-down patterns and, for what rounding leaves, sequences filled one at a time by exact subset sums, are
+sequence takes when padded. A knapsack dynamic programme prices new patterns by the duals until none helps. Pivots
+alone stall, their steps are too small; so the program is solved by an interior point method first, each of whose
+steps prices patterns, a vertex is made of its solution, and pivots go on from there. The rounded-down patterns and, for what rounding leaves, sequences filled one at a time by exact subset sums, are
 then dealt out: the pieces of a length are ranked, and rank r goes to the slot that the patterns give it.
 
 The driver holds at most `capacity` lengths and one pattern for each, and never a document. Ranks are counted
@@ -27,6 +28,8 @@ CAPACITY = 1024
 END_ID = 0
 _FRESH = 256  # pivots after which the basis is inverted anew, fewer once that many lost it
 _HELD = 32  # pivots that are kept beside the inverse before it is changed by all of them at once
+_PLANS = 4  # greedy plans that the interior point method starts from
+_STEPS = 400  # its steps, after which only pivots are left
 _SMALL = 1e-7  # entries below aren't pivoted on: rounding alone can leave as much, and then the basis is singular
 
 
@@ -49,29 +52,182 @@ def _priced(lengths: np.ndarray, duals: np.ndarray, capacity: int) -> tuple[np.n
 
 
 def _columns(lengths, duals, cost, capacity, most=24):
-    """Patterns of negative reduced cost, the best first: counts by index of length."""
+    """Patterns of negative reduced cost, the best first, each about a length that none before it has: counts by index of length."""
     value, item = _priced(lengths, duals, capacity)
-    gain = value - cost
-    out = []
-    for s in np.argsort(-gain)[:most]:
-        if gain[s] <= 1e-7 * capacity:
+    totals = np.argsort(cost - value)[:8]
+    room = totals[:, None] - lengths
+    gain = np.where(room >= 0, value[np.maximum(room, 0)] + duals - cost[totals][:, None], -np.inf)
+    out, seen = [], set()
+    for at in np.argsort(-gain, axis=None).tolist():
+        row, k = divmod(at, len(lengths))
+        if gain[row, k] <= 1e-7 * capacity or len(out) == most:
             break
-        column, left = {}, int(s)
+        if k in seen:
+            continue
+        column, left = {k: 1}, int(room[row, k])
         while left:
-            k = int(item[left])
-            column[k] = column.get(k, 0) + 1
-            left -= int(lengths[k])
-        out.append((column, float(cost[s])))
+            j = int(item[left])
+            column[j] = column.get(j, 0) + 1
+            left -= int(lengths[j])
+        seen.update(column)
+        out.append((column, float(cost[totals[row]])))
     return out
 
 
+class _Pool:
+    """Columns of the linear program, their entries and the products of each one's entries in flat arrays."""
+
+    def __init__(self, m: int, capacity: int):
+        self.m, self.capacity, self.columns, self.at = m, capacity, [], {}
+        self.entries, self.products = np.empty((3, 0)), np.empty((3, 0))
+
+    def add(self, columns) -> int:
+        entries, products, before = [self.entries], [self.products], len(self.columns)
+        for column, price in columns:
+            name = tuple(sorted(column.items()))
+            if name in self.at:
+                continue
+            j = self.at[name] = len(self.columns)
+            self.columns.append((column, price))
+            k, n = np.array(list(column), float), np.array(list(column.values()), float)
+            entries.append(np.stack([k, np.full(len(k), j), n]))
+            products.append(np.stack([(k[:, None] * self.m + k).ravel(), np.full(len(k) ** 2, j), np.outer(n, n).ravel()]))
+        self.entries, self.products = np.concatenate(entries, 1), np.concatenate(products, 1)
+        self.row, self.column, self.count = self.entries[0].astype(int), self.entries[1].astype(int), self.entries[2]
+        self.pair, self.of, self.product = self.products[0].astype(int), self.products[1].astype(int), self.products[2]
+        self.cost = np.array([price for _, price in self.columns]) / self.capacity
+        return len(self.columns) - before
+
+    def uses(self, x):
+        return np.bincount(self.row, self.count * x[self.column], self.m)
+
+    def worth(self, y):
+        return np.bincount(self.column, self.count * y[self.row], len(self.columns))
+
+    def normal(self, weight):
+        return np.bincount(self.pair, self.product * weight[self.of], self.m * self.m).reshape(self.m, self.m)
+
+
+def _interior(lengths, demand, cost, capacity, enough):
+    """The linear program by an interior point method, whose every step prices patterns: a pool and what it takes of each.
+
+    It starts from the mean of some greedy plans, which differ by the order in which room is filled, and from duals a
+    little below the lengths themselves, at which no pattern is worth more than its cost. None where it doesn't end:
+    after `_STEPS` steps, or where its equations can't be solved.
+    """
+    m, rng = len(lengths), np.random.default_rng(0)
+    place = {int(n): k for k, n in enumerate(lengths)}
+    pool, plans = _Pool(m, capacity), []
+    for run in range(_PLANS):
+        over = dict(zip(lengths.tolist(), demand.tolist()))
+        while over:
+            keys = np.array(list(over))
+            order = keys[np.argsort(-keys * rng.uniform(0.6 if run else 1, 1, len(keys)))].tolist()
+            pattern = _filled(over, capacity, order)
+            times = min(over[k] / c for k, c in pattern.items())
+            plans.append(({place[k]: c for k, c in pattern.items()}, float(cost[sum(k * c for k, c in pattern.items())]), times))
+            for k, c in pattern.items():
+                over[k] -= times * c
+                if over[k] <= 1e-9 * demand[place[k]]:
+                    del over[k]
+    pool.add([(column, price) for column, price, _ in plans])
+    x = np.zeros(len(pool.columns))
+    for column, _, times in plans:
+        x[pool.at[tuple(sorted(column.items()))]] += times / _PLANS
+    x = np.maximum(x, 0.01)
+    y = lengths / capacity * 0.99
+    s = pool.cost - pool.worth(y)
+    ending, mended, centre = False, 0, 0.2
+    for _ in range(_STEPS):
+        new = 0
+        if not ending and (new := pool.add(_columns(lengths, y * capacity, cost, capacity, 32))):
+            slack = max(1e-3, float(np.median(s)))
+            x = np.append(x, np.full(new, max(x @ s / len(x), 1e-9) / slack))
+            s = np.append(s, np.full(new, slack))
+        primal, dual, mu = demand - pool.uses(x), pool.cost - pool.worth(y) - s, x @ s / len(x)
+        miss = float(np.abs(primal) @ lengths)
+        ending = ending or miss < capacity / 8 and (capacity * (pool.cost @ x) < enough - capacity / 2 or not new and capacity * (x @ s) < capacity / 8)
+        mended += ending
+        if ending and (miss < 1e-5 * capacity or mended > 25):
+            return pool.columns, x
+        matrix = pool.normal(x / s)
+        matrix.flat[:: m + 1] *= 1 + 1e-12
+        aim = centre * mu / s - x
+        try:
+            dy = np.linalg.solve(matrix, primal + pool.uses(x / s * dual - aim))
+        except np.linalg.LinAlgError:
+            return None
+        ds = dual - pool.worth(dy)
+        dx = aim - x / s * ds
+        if not (np.isfinite(dx).all() and np.isfinite(ds).all()):
+            return None
+        down, fall = dx < 0, ds < 0
+        long = min(1.0, 0.95 * float((-x[down] / dx[down]).min(initial=np.inf)))
+        far = min(1.0, 0.95 * float((-s[fall] / ds[fall]).min(initial=np.inf)))
+        x, y, s = x + long * dx, y + far * dy, s + far * ds
+        # after short steps back to the middle; at the end only what is missing is put right
+        centre = 1.0 if ending else 0.2 if min(long, far) > 0.4 else 1.0 if min(long, far) > 0.1 else 3.0
+    return None
+
+
+def _vertex(columns, x, m, cost, lengths):
+    """A basis among `columns`, as far as they are independent, that does what `x` does at no more cost: the columns taken
+    most enter in place of single lengths; others are brought to zero one by one, or enter where a basic one is first."""
+    basis = [({k: 1}, float(cost[n])) for k, n in enumerate(lengths)]
+    inverse, value, alone = np.eye(m), np.zeros(m), np.ones(m, bool)
+    ways, rows_held, held, since = np.zeros((m, _HELD)), np.zeros((_HELD, m)), 0, 0
+    rest = []
+    turns = [(j, True) for j in np.argsort(-x).tolist()]
+    while turns:
+        for j, first in turns:
+            column, _ = columns[j]
+            at, copies = list(column), np.array(list(column.values()), float)
+            way = inverse[:, at] @ copies - ways[:, :held] @ (rows_held[:held, at] @ copies)
+            if first:
+                row = int(np.where(alone, np.abs(way), 0).argmax())
+                if not alone[row] or abs(way[row]) < 1e-5:
+                    rest.append((j, False))
+                    continue
+                value[row], alone[row] = x[j], False
+            else:
+                # less of this column is more of those it stands for, and less of those with a negative entry
+                rows = np.flatnonzero(~alone & (way < -_SMALL))
+                ratio = value[rows] / -way[rows]
+                step = min(float(x[j]), float(ratio.min(initial=np.inf)))
+                if step == x[j]:
+                    value[~alone] += step * way[~alone]
+                    np.maximum(value, 0, out=value)
+                    continue
+                rows = rows[ratio <= ((value[rows] + 1e-9) / -way[rows]).min()]
+                row = int(rows[way[rows].argmin()])
+                value[~alone] += step * way[~alone]
+                np.maximum(value, 0, out=value)
+                value[row] = x[j] - step
+            pivot = (inverse[row] - ways[row, :held] @ rows_held[:held]) / way[row]
+            ways[:, held], rows_held[held] = way, pivot
+            ways[row, held] -= 1
+            basis[row] = columns[j]
+            held, since = held + 1, since + 1
+            if since == _FRESH:
+                matrix = np.zeros((m, m))
+                for i, (column, _) in enumerate(basis):
+                    matrix[list(column), i] = list(column.values())
+                inverse, held, since = np.linalg.inv(matrix), 0, 0
+            elif held == _HELD:
+                inverse -= ways @ rows_held
+                held = 0
+        turns, rest = rest[::-1], []
+    return basis
+
+
 def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int | None = None, gap: float = 0.0) -> list[tuple[dict[int, int], int]]:
     """Patterns ({length: copies}, times) that use up the histogram exactly.
 
     The linear program ends when no pattern improves it, its padding is less than one sequence, so that no more than
     that is to be gained, or its value hasn't fallen for as many rounds of pricing as there are lengths. `gap` (a
     share of all ids that padding may take) and `pivots` end it sooner; what it says then is still a feasible plan,
-    only with a little more padding. So it is where rounding loses the basis however often it is inverted.
+    only with a little more padding. So it is where rounding loses the basis however often it is inverted. With
+    `pivots` there are only these.
     """
     histogram = {int(k): int(v) for k, v in histogram.items() if v > 0}
     if not histogram:
@@ -115,6 +271,14 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int |
     if start is None:  # counts that follow from one another can make numbers too far apart: each length by itself
         basis = [({k: 1}, float(cost[n])) for k, n in enumerate(lengths)]
         start = inverted()
+    enough = bound + max(gap * bound, capacity)
+    if pivots is None and start[1] @ [c for _, c in basis] >= enough and (found := _interior(lengths, demand, cost, capacity, enough)):
+        before, basis = basis, _vertex(*found, m, cost, lengths)
+        vertex = inverted()
+        if vertex is None or vertex[1] @ [c for _, c in basis] > start[1] @ [c for _, c in before]:
+            basis = before
+        else:
+            start = vertex
     inverse, x = start
     duals = np.array([c for _, c in basis]) @ inverse
     sound, fresh = list(basis), _FRESH
@@ -124,9 +288,9 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int |
         value = sum(c * v for (_, c), v in zip(basis, x))
         stalled = 0 if value < best * (1 - 1e-9) else stalled + 1
         best = min(best, value)
-        enough = value < bound + max(gap * bound, capacity) or stalled > m
+        ended = value < enough or stalled > m
         moved = False
-        for column, price in [] if enough else _columns(lengths, duals, cost, capacity):
+        for column, price in [] if ended else _columns(lengths, duals, cost, capacity):
             at, copies = list(column), np.array(list(column.values()), float)
             reduced = price - duals[at] @ copies
             if reduced >= -1e-7 * capacity:
@@ -163,7 +327,7 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int |
                 fresh, best, lost = max(1, fresh // 4), np.inf, lost + 1
                 anew = inverted()
             else:
-                sound, moved = list(basis), not enough
+                sound, moved = list(basis), not ended
                 fresh = min(_FRESH, 2 * fresh) if lost < _HELD else fresh
             (inverse, x), since, held = anew, 0, 0
             duals = np.array([c for _, c in basis]) @ inverse
@@ -182,11 +346,11 @@ def patterns(histogram: dict[int, int], capacity: int = CAPACITY, pivots: int |
     return min(out, _greedy(histogram, capacity), key=paid)
 
 
-def _filled(left: dict[int, float], capacity: int) -> dict[int, int]:
-    """The longest piece left with the others, the longer first, that leave the least room."""
+def _filled(left: dict[int, float], capacity: int, order: list[int] | None = None) -> dict[int, int]:
+    """The longest piece left with the others, the longer or those earlier in `order` first, that leave the least room."""
     first = max(left)
     room, reach, steps = capacity - first, 1, []
-    for k in sorted(left, reverse=True):
+    for k in order or sorted(left, reverse=True):
         for _ in range(min(math.ceil(left[k]) - (k == first), room // k)):
             if (more := (reach | reach << k) & ((1 << room + 1) - 1)) == reach:
                 break
