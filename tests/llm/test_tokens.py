@@ -161,6 +161,17 @@ def test_every_segmentation_with_its_probability():
         assert len(some) == k and len({tuple(i.tolist()) for i, _, _ in some}) == k
 
 
+def test_lookups_rule_out_most_stretches(monkeypatch):
+    """Most stretches of a text are no piece: few of them are searched for among the pieces' hashes."""
+    own, asked, search = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"), 1.0), [], np.searchsorted
+    hashes = {id(t[1]) for t in own.tables}
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *k, **o: (asked.append(np.size(v)) if id(a) in hashes else None, search(a, v, *k, **o))[1])
+    words = own.words(" ".join("".join(random.Random(i).choices("abcdefghijklmnopqrst", k=12)) for i in range(500)))
+    found = piece_sampling.Lattices(own, words)
+    stretches = sum(max(0, len(w) - t[0] + 1) for w in words for t in own.tables)
+    assert len(found.piece) <= sum(asked) + sum(map(len, words)) and sum(asked) < 0.5 * stretches
+
+
 def test_samples_are_distinct_and_decode():
     own = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"))
     texts = ["ab cd", "the cat", "héx", "", None, " a  b", "漢x", "\x00", "a" * 200]

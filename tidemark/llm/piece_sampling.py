@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -36,6 +37,7 @@ SEED = 11
 CHARS = 1_500_000
 _WORDS = re.compile("▁+[^▁]*|[^▁]+")
 _U = np.uint64
+_HEAD = 16  # bits of a hash that are looked up first
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -85,6 +87,10 @@ class Pieces:
         for length, rows in sorted(by.items()):
             rows.sort()
             self.tables.append((length, np.array([r[0] for r in rows], _U), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])))
+        self.heads = []  # by length: which first bits of a hash occur
+        for _, hashes, _, _ in self.tables:
+            self.heads.append(np.zeros(1 << _HEAD, bool))
+            self.heads[-1][hashes >> _U(64 - _HEAD)] = True
         self.worst = min(float(t[3].min()) for t in self.tables) - 10.0
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = sp.unk_id()
@@ -132,15 +138,17 @@ class Lattices:
         source, target, piece, log = [], [], [], []
         place = np.arange(n)
         single = np.zeros(n, bool)
-        for length, hashes, ids, logs in pieces.tables:
+        for (length, hashes, ids, logs), heads in zip(pieces.tables, pieces.heads):
             place = place[place + length <= end[place]]
             h = (sums[place + length] - sums[place]) * scale[place]
-            k = np.searchsorted(hashes, h).clip(max=len(hashes) - 1)
-            hit = np.flatnonzero(hashes[k] == h)
+            may = np.flatnonzero(heads[h >> _U(64 - _HEAD)])  # most stretches begin like no piece's hash
+            k = np.searchsorted(hashes, h[may]).clip(max=len(hashes) - 1)
+            same = hashes[k] == h[may]
+            hit, k = may[same], k[same]
             source.append(place[hit])
             target.append(place[hit] + length)
-            piece.append(ids[k[hit]])
-            log.append(logs[k[hit]])
+            piece.append(ids[k])
+            log.append(logs[k])
             if length == 1:
                 single[place[hit]] = True
         odd = np.flatnonzero(~single)
@@ -149,23 +157,26 @@ class Lattices:
         piece.append(-1 - code[odd].astype(np.int64))
         log.append(np.full(len(odd), pieces.worst))
         source, target, piece, log = (np.concatenate(x) for x in (source, target, piece, log))
+        order = np.argsort(source, kind="stable")
+        source, target, piece, log = (x[order] for x in (source, target, piece, log))
         left = end[source] - source if n else source
-        order = np.lexsort((source, left))  # nodes nearest to their word's end first
-        source, target, piece, log, left = (x[order] for x in (source, target, piece, log, left))
-        source, target = source + of[source], target + of[source]
+        near = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")  # nodes nearest to their word's end first
+        source, target, left = source + of[source], target + of[source], left[near]
         nodes = n + len(words)
         back = np.zeros(nodes)
         bounds = np.searchsorted(left, np.arange(1, int(left[-1]) + 2)) if n else [0]
+        from_, into, weights = source[near], target[near], log[near]
         for a, b in zip(bounds, bounds[1:]):
-            weight = log[a:b] + back[target[a:b]]
-            opens = np.flatnonzero(np.r_[True, source[a + 1 : b] != source[a : b - 1]])
+            weight = weights[a:b] + back[into[a:b]]
+            opens = np.flatnonzero(np.r_[True, from_[a + 1 : b] != from_[a : b - 1]])
             row = np.repeat(np.arange(len(opens)), np.diff(np.r_[opens, b - a]))
             top = np.maximum.reduceat(weight, opens)
             whole = top + np.log(np.add.reduceat(np.exp(weight - top[row]), opens))
-            back[source[a + opens]] = whole
-            log[a:b] = weight - whole[row]
-        order = np.argsort(source, kind="stable")
-        self.piece, self.to, self.log = piece[order], target[order], log[order]
+            back[from_[a + opens]] = whole
+            weights[a:b] = weight - whole[row]
+        log[near] = weights
+        self.piece, self.to, self.log = piece, target, log
+        self.mixed = _mixed(piece.astype(_U) + _U(1))
         self.count = np.bincount(source, minlength=nodes)
         self.first = np.cumsum(self.count) - self.count
         starts = np.cumsum(size) - size + np.arange(len(words))
@@ -188,11 +199,11 @@ def _descend(t: Lattices, doc, word, node, prior, top, key, beside: int):
         n = t.count[here]
         row = np.repeat(np.arange(len(live)), n)
         start = np.cumsum(n) - n
-        edge = np.arange(len(row)) - start[row] + t.first[here][row]
-        seat = (key[doc[live]] + _mixed(word[live].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(depth + 1)))[row]
-        noise = t.log[edge] + _gumbel(seat ^ _mixed(t.piece[edge].astype(_U) + _U(1)))
+        edge = np.arange(len(row)) + np.repeat(t.first[here] - start, n)
+        seat = np.repeat(key[doc[live]] + _mixed(word[live].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(depth + 1)), n)
+        noise = t.log[edge] + _gumbel(seat ^ t.mixed[edge])
         best = np.maximum.reduceat(noise, start)
-        won = np.flatnonzero(noise == best[row])
+        won = np.flatnonzero(noise == np.repeat(best, n))
         won = won[np.r_[True, row[won][1:] != row[won][:-1]]]  # one edge a word
         steps.append((live, here, row, edge, noise, best, width[live].copy(), won))
         width[live] += t.log[edge[won]]
@@ -210,28 +221,31 @@ def _descend(t: Lattices, doc, word, node, prior, top, key, beside: int):
         lost = np.flatnonzero(lost)
         if not len(lost):
             continue
-        d = doc[live][row[lost]]
-        phi = prior[d] + total[live][row[lost]] + so_far[row[lost]]
-        g, z = noise[lost], best[row[lost]]
+        own = row[lost]
+        d = doc[live][own]
+        phi = (prior[doc[live]] + total[live] + so_far)[own]
+        g, z = noise[lost], best[own]
         with np.errstate(divide="ignore"):
             u = top[d] - (g + phi) + np.log(-np.expm1(np.minimum(g - z, -1e-300)))
-        value = top[d] - np.maximum(u, 0) - np.log1p(np.exp(-np.abs(u)))
-        left.append((d, value, live[row[lost]], here[row[lost]], edge[lost], phi + t.log[edge[lost]]))
-    behind = []
-    if left:
-        d, value, place, before, edge, phi = (np.concatenate(c) for c in zip(*left))
-        # the best few of each document, without a sort of all
+        # a value falls as u rises: the best few of each document in this step, whose rows stand together
+        opens = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        size = np.diff(np.r_[opens, len(d)])
         for _ in range(beside):
-            if not len(d):
+            k = np.flatnonzero(u == np.repeat(np.minimum.reduceat(u, opens), size))
+            k = k[np.r_[True, d[k][1:] != d[k][:-1]] & (u[k] < np.inf)]
+            if not len(k):
                 break
-            most = np.full(int(doc[-1]) + 1, -np.inf)
-            np.maximum.at(most, d, value)
-            k = np.flatnonzero(value == most[d])
-            k = k[np.unique(d[k], return_index=True)[1]]
-            behind += zip(d[k].tolist(), value[k].tolist(), word[place[k]].tolist(), before[k].tolist(), edge[k].tolist(), phi[k].tolist())
-            keep = np.ones(len(d), bool)
-            keep[k] = False
-            d, value, place, before, edge, phi = (c[keep] for c in (d, value, place, before, edge, phi))
+            e, at_ = edge[lost[k]], own[k]
+            left.append((d[k], u[k], live[at_], here[at_], e, phi[k] + t.log[e]))
+            u[k] = np.inf
+    behind = []
+    if left:
+        d, u, place, before, edge, phi = (np.concatenate(c) for c in zip(*left))
+        value = top[d] - np.maximum(u, 0) - np.log1p(np.exp(-np.abs(u)))
+        order = np.lexsort((u, d))
+        nth = np.arange(len(d)) - np.searchsorted(d[order], d[order])
+        k = order[nth < beside]
+        behind = list(zip(d[k].tolist(), value[k].tolist(), word[place[k]].tolist(), before[k].tolist(), edge[k].tolist(), phi[k].tolist()))
     path = np.concatenate(path) if path else np.empty((0, 3), np.int64)
     path = path[np.lexsort((path[:, 1], path[:, 0]))]
     return doc[path[:, 0]], word[path[:, 0]], path[:, 2], path[:, 1], total + width, behind
@@ -241,8 +255,8 @@ def sample(own: Pieces, keys: list[int], texts: list[str | None], samples: int =
     """For each text up to `samples` segmentations, by falling perturbed value: (ids, log-probability, log of the
     inclusion score). A text with fewer segmentations gives all of them, with inclusion 1."""
     split = [own.words(t) for t in texts]
-    t = lattices = Lattices(own, list(dict.fromkeys(w for words in split for w in words)))
-    nodes = [np.array([lattices.start[w] for w in words], np.int64) for words in split]
+    t = lattices = Lattices(own, list(dict.fromkeys(chain.from_iterable(split))))
+    nodes = [np.fromiter(map(lattices.start.__getitem__, words), np.int64, len(words)) for words in split]
     base = np.array([xxhash.xxh64_intdigest(str(k), seed) for k in keys], _U)
     results: list[list] = [[] for _ in texts]
     queue = [[] for _ in texts]
