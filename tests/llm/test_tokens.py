@@ -1,5 +1,6 @@
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -172,6 +173,70 @@ def test_lookups_rule_out_most_stretches(monkeypatch):
     assert len(found.piece) <= sum(asked) + sum(map(len, words)) and sum(asked) < 0.5 * stretches
 
 
+def _whole(own, text):
+    """Every segmentation of a text, as one lattice that is cut nowhere, with its probability."""
+    score = {own.model.id_to_piece(k): x for _, _, ids, logs in own.tables for k, x in zip(ids.tolist(), logs.tolist())}
+
+    def paths(rest):
+        if not rest:
+            return [()]
+        pieces = [rest[:n] for n in range(1, len(rest) + 1) if rest[:n] in score]
+        return [(p, *more) for p in (pieces if rest[0] in score else [rest[0], *pieces]) for more in paths(rest[len(p) :])]
+
+    weight = {p: np.exp(sum(score.get(x, own.worst) for x in p)) for p in paths(own.marked(text))}
+    return {tuple(i for x in p for i in ([own.model.piece_to_id(x)] if x in score else own.spelt(ord(x)))): w / sum(weight.values()) for p, w in weight.items()}
+
+
+@pytest.mark.parametrize("horizon", [0.0, 0.7, 8.0])
+def test_pairs_of_samples_without_replacement(monkeypatch, horizon):
+    """First and second samples by their joint probability p * q / (1 - p), wherever children are drawn one by one or by
+    their least time; more samples than paths give every path of the text's whole lattice."""
+    monkeypatch.setattr(piece_sampling, "HORIZON", horizon)
+    own = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"), 1.0)
+    n, text, known = 30000, "on it", _whole(own, "on it")
+    seen = Counter(tuple(tuple(ids.tolist()) for ids, _, _ in found) for found in piece_sampling.sample(own, list(range(n)), [text] * n, 2, seed=3))
+    for a, p in known.items():
+        for b, q in known.items():
+            if a != b:
+                due = p * q / (1 - p)
+                assert abs(seen[a, b] - n * due) < 5 * (n * due) ** 0.5 + 3
+    assert sum(seen.values()) == n and all(a in known and b in known and a != b for a, b in seen)
+    for text in ("on it.", "a.\nB1", "it\x00's", "", "漢é on"):
+        known = _whole(own, text)
+        [found] = piece_sampling.sample(own, [1], [text], len(known) + 3)
+        assert len(found) == len(known)
+        for ids, log, inclusion in found:
+            assert np.exp(log) == pytest.approx(known[tuple(ids.tolist())], rel=1e-9) and inclusion == 0
+
+
+def test_children_left_behind_are_drawn_near_the_start(monkeypatch):
+    """Two samples of a long text draw values (logarithms of numbers) for few of the edges that the paths pass."""
+    own, made, log = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"), 1.0), [], np.log
+    text = " ".join(random.Random(1).choices(["the", "nation", "thing", "reason", "was", "under"], k=3000))
+    monkeypatch.setattr(np, "log", lambda x, *k, **o: made.append(np.size(x)) or log(x, *k, **o))
+    [found] = piece_sampling.sample(own, [1], [text])
+    assert len(found) == 2 and sum(made) < 0.5 * sum(len(ids) for ids, _, _ in found)
+
+
+def test_lattices_of_words_that_come_again(monkeypatch):
+    """Short words' lattices are built once for many runs of texts; samples don't depend on what was met or dropped."""
+    own, built, build = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"), 1.0), [], piece_sampling.Lattices
+    texts = [own.marked(f"the cat {w} {'ab' * 9} {'ab' * 40} on the mat") for w in ("sat", "is", "sat", "", "x" * 50)]
+    alone = [piece_sampling._sample(piece_sampling.Store(own), [k], [t], 2, 1) for k, t in enumerate(texts)]
+    for kept in (10**6, 40, 0):
+        monkeypatch.setattr(piece_sampling, "KEPT", kept)
+        store = piece_sampling.Store(own)
+        for k, t in enumerate(texts):
+            ids, bounds, rows = piece_sampling._sample(store, [k], [t], 2, 1)
+            assert ids.tolist() == alone[k][0].tolist() and (bounds, rows) == alone[k][1:]
+    monkeypatch.setattr(piece_sampling, "KEPT", 10**6)
+    monkeypatch.setattr(piece_sampling, "Lattices", lambda pieces, words, code=None, size=None: built.append(len(size)) or build(pieces, words, code, size))
+    store = piece_sampling.Store(own)
+    for t in texts[:3]:
+        piece_sampling._sample(store, [0], [t], 2, 1)
+    assert built[::2][2] == 0 and built[0] > built[2] >= 1  # short words: all, then the new one, then none
+
+
 def test_samples_are_distinct_and_decode():
     own = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"))
     texts = ["ab cd", "the cat", "héx", "", None, " a  b", "漢x", "\x00", "a" * 200]

@@ -3,14 +3,16 @@
 The segmentations of a text are the paths of a lattice; a path's probability is proportional to the product of
 exp(score / temperature) over its pieces. Gumbel top-k without replacement takes the k paths of largest perturbed
 log-probability, and an A* search finds them from the top: the root's perturbed value is a Gumbel number, a node's is
-the largest among its children's, and the others get theirs given that largest one, so that the next value on the
-queue is always exact. A path that comes off the queue at the end of the text is a sample; the value on top of
-the queue after the last one is the threshold, and a path's inclusion score the probability to exceed it.
+the largest among its children's. The child that keeps it is drawn by the children's probabilities; given that, the
+others get Gumbel numbers cut off at it, so that the next value on the queue is always exact. A path that comes off
+the queue at the end of the text is a sample; the value on top of the queue after the last one is the threshold, and a
+path's inclusion score the probability to exceed it.
 
-Pieces never hold a space mark behind another character, so the lattice is a chain of words. The lattices of the
-distinct words of some documents (`CHARS` characters, or one document) are built at once, in arrays, and the search
-steps along all words of all of them at once. Of a node
-that the search passes, only the `samples` best children that it leaves behind can come off the queue.
+Where no piece holds two characters side by side the lattice is cut, so it is a chain of words. The lattices of
+distinct words are built at once, in arrays, short words' are kept for the texts that follow, and the search steps
+along all words of some documents (`CHARS` characters, or one document) at once. Of the children that it leaves behind
+only the `samples` best of a document can come off the queue. They mostly stand near the path's start, as probabilities
+fall along it: those further on are drawn one by one only where the best of them is good enough.
 
 Random numbers are drawn from a hash of row key, sample, place and piece: the same rows give the same samples,
 however they are split.
@@ -19,9 +21,7 @@ however they are split.
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import xxhash
@@ -34,8 +34,10 @@ from tidemark.llm.tokens import vocabulary
 SAMPLES = 2
 TEMPERATURE = 1.0
 SEED = 11
-CHARS = 1_500_000
-_WORDS = re.compile("▁+[^▁]*|[^▁]+")
+CHARS = 500_000
+KEPT = 3_000_000  # edges of short words' lattices
+SHORT, LONG = 9, 32  # characters of words that are kept, and of words that are looked up at all
+HORIZON = 8.0  # log-probability of a path's first part, in which children left behind are drawn one by one
 _U = np.uint64
 _HEAD = 16  # bits of a hash that are looked up first
 
@@ -47,9 +49,9 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _gumbel(key: np.ndarray) -> np.ndarray:
-    u = ((_mixed(key) >> _U(11)).astype(float) + 0.5) * 2.0**-53
-    return -np.log(-np.log(u))
+def _uniform(key: np.ndarray) -> np.ndarray:
+    """Numbers above 0 and below 1, in steps of 2^-52."""
+    return ((_mixed(key) >> _U(12)).astype(float) + 0.5) * 2.0**-52
 
 
 _B = 0x9E3779B97F4A7C15 | 1
@@ -66,6 +68,17 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", errors="surrogatepass"), np.uint32).astype(_U)
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of `size` numbers each, in a row."""
+    return np.arange(int(size.sum())) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def _hashes(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of a stretch from a to b is (sums[b] - sums[a]) * scale[a]."""
+    n = len(code)
+    return np.concatenate([np.zeros(1, _U), np.cumsum(_mixed(code) * _powers(_B, n)[:-1], dtype=_U)]), _powers(_B_INVERSE, n)
+
+
 class Pieces:
     """A model's pieces by length and hash, with their log-probabilities."""
 
@@ -77,11 +90,13 @@ class Pieces:
         scores = [sp.get_score(k) for k in range(n)]
         merges = all(s == int(s) for s in scores)  # ranks of merges, no log-probabilities: Zipf's law makes them such
         by: dict[int, list] = {}
+        pairs = set()
         for k in range(n):
             if not (sp.is_control(k) or sp.is_unknown(k) or sp.is_byte(k) or sp.is_unused(k)):
                 log = -math.log(2.0 + min(-scores[k], n)) if merges else scores[k]
                 piece = sp.id_to_piece(k)
                 c = _codes(piece)
+                pairs.update(zip(piece, piece[1:]))
                 by.setdefault(len(piece), []).append((int((_mixed(c) * _powers(_B, len(c))[:-1]).sum()), k, log / temperature))
         self.tables = []
         for length, rows in sorted(by.items()):
@@ -92,11 +107,35 @@ class Pieces:
             self.heads.append(np.zeros(1 << _HEAD, bool))
             self.heads[-1][hashes >> _U(64 - _HEAD)] = True
         self.worst = min(float(t[3].min()) for t in self.tables) - 10.0
+        kinds = {c: k + 1 for k, c in enumerate(sorted(set().union(*pairs)))}  # 0: characters that stand alone
+        self.kind = np.zeros(0x110000, np.int32)
+        self.kind[[ord(c) for c in kinds]] = list(kinds.values())
+        self.beside = np.zeros((len(kinds) + 1, len(kinds) + 1), bool)  # whether a piece holds two side by side
+        for x, y in pairs:
+            self.beside[kinds[x], kinds[y]] = True
         self.bytes = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.unknown = sp.unk_id()
 
+    def marked(self, text: str | None) -> str:
+        return self.model.normalize(text or "").replace(" ", "▁")
+
+    def split(self, marked: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The characters of all texts in a row; where each word begins, with the end of all; how many words each
+        text has."""
+        code = _codes("".join(marked))
+        ends = np.cumsum([len(m) for m in marked], dtype=np.int64)
+        kind = self.kind[code.astype(np.int64)]
+        opens = np.ones(len(code) + 1, bool)
+        if len(code):
+            opens[1:-1] = ~self.beside.ravel()[kind[:-1] * len(self.beside) + kind[1:]]
+        opens[ends] = True
+        begins = np.flatnonzero(opens)
+        return code, begins, np.diff(np.searchsorted(begins, ends), prepend=0)
+
     def words(self, text: str | None) -> list[str]:
-        return _WORDS.findall(self.model.normalize(text or "").replace(" ", "▁"))
+        marked = self.marked(text)
+        begins = self.split([marked])[1].tolist()
+        return [marked[a:b] for a, b in zip(begins, begins[1:])]
 
     def spelt(self, code: int) -> tuple[int, ...]:
         """Ids of a character that is no piece: its bytes, or the unknown id where a model has no bytes."""
@@ -104,37 +143,39 @@ class Pieces:
             return (self.unknown,)
         return tuple(self.bytes[b] for b in chr(code).encode(errors="replace"))
 
-    def ids(self, pieces: np.ndarray) -> np.ndarray:
-        """Pieces with characters that are no piece, kept as -1 - code point, spelt out."""
+    def ids(self, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces with characters that are no piece, kept as -1 - code point, spelt out; and where each one's ids
+        begin, with the end of all."""
         odd = np.flatnonzero(pieces < 0)
         if not len(odd):
-            return pieces
+            return pieces, np.arange(len(pieces) + 1)
         kinds, which = np.unique(pieces[odd], return_inverse=True)
         spelt = [self.spelt(-1 - p) for p in kinds.tolist()]
         size = np.ones(len(pieces), np.int64)
         size[odd] = np.array([len(s) for s in spelt])[which]
         out = np.repeat(pieces, size)
-        first = (np.cumsum(size) - size)[odd]
-        for k, s in enumerate(spelt):
-            at = first[which == k]
+        begins = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+        order = np.argsort(which, kind="stable")
+        for s, at in zip(spelt, np.split(begins[odd][order], np.cumsum(np.bincount(which))[:-1])):
             for place, one in enumerate(s):
                 out[at + place] = one
-        return out
+        return out, begins
 
 
 class Lattices:
     """The lattices of some words as flat arrays: node -> edges (piece, next node, log-probability given the node).
 
-    Word w's nodes are its places and its end: the place i of all words' characters is node i + w.
+    Word w's nodes are its places and its end: the place i of all words' characters is node i + w. `cum` is the
+    probability of a node's edges up to this one.
     """
 
-    def __init__(self, pieces: Pieces, words: list[str]):
-        code = _codes("".join(words))
-        size = np.array([len(w) for w in words], np.int64)
-        n, of = len(code), np.repeat(np.arange(len(words)), size)
+    def __init__(self, pieces: Pieces, words: list[str] | None, code: np.ndarray | None = None, size: np.ndarray | None = None):
+        """words: the words, or None where `code` has their characters in a row and `size` how many each has."""
+        if words is not None:
+            code, size = _codes("".join(words)), np.array([len(w) for w in words], np.int64)
+        n, of = len(code), np.repeat(np.arange(len(size)), size)
         end = np.cumsum(size)[of] if n else of
-        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_mixed(code) * _powers(_B, n)[:-1], dtype=_U)])
-        scale = _powers(_B_INVERSE, n)
+        sums, scale = _hashes(code)
         source, target, piece, log = [], [], [], []
         place = np.arange(n)
         single = np.zeros(n, bool)
@@ -162,7 +203,7 @@ class Lattices:
         left = end[source] - source if n else source
         near = np.argsort(left.astype(np.uint16) if left.max(initial=0) < 1 << 16 else left, kind="stable")  # nodes nearest to their word's end first
         source, target, left = source + of[source], target + of[source], left[near]
-        nodes = n + len(words)
+        nodes = n + len(size)
         back = np.zeros(nodes)
         bounds = np.searchsorted(left, np.arange(1, int(left[-1]) + 2)) if n else [0]
         from_, into, weights = source[near], target[near], log[near]
@@ -173,148 +214,233 @@ class Lattices:
             top = np.maximum.reduceat(weight, opens)
             whole = top + np.log(np.add.reduceat(np.exp(weight - top[row]), opens))
             back[from_[a + opens]] = whole
-            weights[a:b] = weight - whole[row]
+            weights[a:b] = np.minimum(weight - whole[row], 0)
         log[near] = weights
         self.piece, self.to, self.log = piece, target, log
-        self.mixed = _mixed(piece.astype(_U) + _U(1))
         self.count = np.bincount(source, minlength=nodes)
         self.first = np.cumsum(self.count) - self.count
-        starts = np.cumsum(size) - size + np.arange(len(words))
-        self.start = dict(zip(words, starts.tolist()))
+        self.starts = np.cumsum(size) - size + np.arange(len(size))
+        # added up by an edge's number in its node, so that nothing but its node's probabilities goes into it
+        self.cum, inner = np.exp(log), np.flatnonzero(np.diff(source) == 0) + 1
+        nth = np.arange(len(source)) - self.first[source]
+        for k in range(1, int(nth.max(initial=0)) + 1):
+            inner = inner[nth[inner] >= k]
+            e = inner[nth[inner] == k]
+            self.cum[e] += self.cum[e - 1]
+        last = self.count > 0
+        self.cum[(self.first + self.count - 1)[last]] = 2.0
+
+
+class Store:
+    """Lattices of words that were met, as one set of flat arrays; words go by a hash of their characters.
+
+    Those of words up to `SHORT` characters stay for the texts that follow, until they hold `KEPT` edges: then all
+    are dropped. Those of other words, which seldom come again, are dropped after each run of texts.
+    """
+
+    def __init__(self, pieces: Pieces):
+        self.pieces = pieces
+        self.piece, self.to, self.log, self.cum = np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0), np.empty(0)
+        self.count, self.first = np.empty(0, np.int32), np.empty(0, np.int32)
+        self.known, self.start = np.empty(0, _U), np.empty(0, np.int64)  # sorted hashes of kept words, and their first nodes
+        self.edges = self.nodes = 0  # of kept words
+
+    def _add(self, code: np.ndarray, begin: np.ndarray, size: np.ndarray, edges: int, nodes: int) -> tuple[np.ndarray, int, int]:
+        """Writes some words' lattices behind those that are there: the words' first nodes, and the new ends."""
+        t = Lattices(self.pieces, None, code[_ranges(begin, size)], size)
+        for names, a, columns in ((("piece", "to", "log", "cum"), edges, (t.piece, t.to + nodes, t.log, t.cum)), (("count", "first"), nodes, (t.count, t.first + edges))):
+            for name, column in zip(names, columns):
+                held, b = getattr(self, name), a + len(column)
+                if len(held) < b:
+                    held = np.concatenate([held[:a], np.empty(b + b // 4 - a, held.dtype)])
+                    setattr(self, name, held)
+                held[a:b] = column
+        return t.starts + nodes, edges + len(t.piece), nodes + len(t.count)
+
+    def find(self, code: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """The first node of each word's lattice; good until the next call."""
+        if self.edges > KEPT:
+            self.known, self.start, self.edges, self.nodes = self.known[:0], self.start[:0], 0, 0
+        size, begin = np.diff(begins), begins[:-1]
+        sums, scale = _hashes(code)
+        h = (sums[begins[1:]] - sums[begin]) * scale[begin] + _mixed(size.astype(_U))
+        out = np.empty(len(size), np.int64)
+        usual = np.flatnonzero(size <= LONG)
+        kinds, first, which = np.unique(h[usual], return_index=True, return_inverse=True)
+        first = usual[first]
+        node = np.empty(len(kinds), np.int64)
+        k = np.searchsorted(self.known, kinds)
+        old = np.zeros(len(kinds), bool)
+        if len(self.known):
+            old = self.known[k.clip(max=len(self.known) - 1)] == kinds
+            node[old] = self.start[k[old]]
+        new = np.flatnonzero(~old & (size[first] <= SHORT))
+        node[new], self.edges, self.nodes = self._add(code, begin[first[new]], size[first[new]], self.edges, self.nodes)
+        self.known, self.start = np.insert(self.known, k[new], kinds[new]), np.insert(self.start, k[new], node[new])
+        new = np.flatnonzero(~old & (size[first] > SHORT))
+        rest = np.flatnonzero(size > LONG)  # each by itself
+        every = np.concatenate([first[new], rest])
+        some, _, _ = self._add(code, begin[every], size[every], self.edges, self.nodes)
+        node[new] = some[: len(new)]
+        out[usual], out[rest] = node[which], some[len(new) :]
+        return out
 
 
-def _descend(t: Lattices, doc, word, node, prior, top, key, beside: int):
-    """From `node` of each word on to the word's end, many words of many documents at once.
+def _descend(t: Store, doc, node, shift, key):
+    """Draws a path from `node` of each word on to the word's end, many words of many documents at once.
 
-    doc, word: which document and which of its words, in order; prior, top: log-probability of all before the
-    document's first word here, and the perturbed value that its path keeps; key: a number for each document.
-    Returns the path as arrays in order (doc, word, piece, log), and for each document the `beside` best children
-    left behind: (value, word, node before, edge, log-probability with the edge).
+    doc, shift: each word's document, and what is added to a node for its place in there; key: a number for each
+    document. Returns the path's edges in order, and where each word's begin, with the end of all.
     """
     steps, at, live = [], node.copy(), np.flatnonzero(t.count[node] > 0)
-    width = np.zeros(len(doc))  # log-probability of a word so far
-    depth = 0
+    size = np.zeros(len(doc), np.int64)
     while len(live):
         here = at[live]
+        edge = t.first[here].astype(np.int64)
+        todo = np.flatnonzero(t.count[here] > 1)  # where there is but one edge, it is taken
+        who = live[todo]
+        u, e = _uniform(key[doc[who]] + _mixed((here[todo] + shift[who]).astype(_U) * _U(2))), edge[todo]
+        while len(todo):
+            over = np.flatnonzero(u > t.cum[e])
+            todo, u, e = todo[over], u[over], e[over] + 1
+            edge[todo] = e
+        steps.append((live, edge))
+        at[live] = to = t.to[edge]
+        size[live] += 1
+        live = live[t.count[to] > 0]
+    begins = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    path = np.empty(begins[-1], np.int64)
+    for order, (live, edge) in enumerate(steps):
+        path[begins[live] + order] = edge
+    return path, begins
+
+
+def _left(t: Store, doc, node, shift, key, path, begins, prior, top, beside: int):
+    """For each document the `beside` best children that its path left behind: (document, value, word, pieces before,
+    edge, log-probability with the edge), words and pieces counted from the path's start.
+
+    prior, top: log-probability of all before the document's first word here, and the value that its path keeps.
+
+    The children's values fall as exponential times rise, whose rates are the children's probabilities. Those along
+    the path's first part (`HORIZON`) are drawn one by one. Of the rest the least time is drawn alone, at the sum of
+    the rates: mostly it is too late. Where it isn't, the rest is drawn too, and moved to that least time: how much later
+    than the first the others are, and which is first, doesn't depend on it.
+    """
+    opens = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+    of, low, high = doc[opens], begins[opens], begins[np.r_[opens[1:], len(doc)]]
+    prior, top, key = prior[of], top[of], key[of]
+    before = np.concatenate([np.zeros(1), np.cumsum(t.log[path])])  # falls all along
+    near = np.searchsorted(-before, HORIZON - before[low], side="right").clip(low, high)
+
+    def drawn(docs, a, b):
+        """Children along the path from a to b: document, time's logarithm above the top's, place, edge, log-probability."""
+        k, d = _ranges(a, b - a), np.repeat(docs, b - a)
+        word = np.searchsorted(begins, k, side="right") - 1
+        here = np.where(k == begins[word], node[word], t.to[path[k - 1]])
+        seat = key[d] + _mixed((here + shift[word]).astype(_U) * _U(2) + _U(1))
         n = t.count[here]
-        row = np.repeat(np.arange(len(live)), n)
-        start = np.cumsum(n) - n
-        edge = np.arange(len(row)) + np.repeat(t.first[here] - start, n)
-        seat = np.repeat(key[doc[live]] + _mixed(word[live].astype(_U) * _U(0x9E3779B97F4A7C15) + _U(depth + 1)), n)
-        noise = t.log[edge] + _gumbel(seat ^ t.mixed[edge])
-        best = np.maximum.reduceat(noise, start)
-        won = np.flatnonzero(noise == np.repeat(best, n))
-        won = won[np.r_[True, row[won][1:] != row[won][:-1]]]  # one edge a word
-        steps.append((live, here, row, edge, noise, best, width[live].copy(), won))
-        width[live] += t.log[edge[won]]
-        at[live] = t.to[edge[won]]
-        live = live[t.count[at[live]] > 0]
-        depth += 1
-    total = np.cumsum(width) - width  # of the words before, in the document and in those before it
-    opens = np.r_[True, doc[1:] != doc[:-1]]
-    total -= np.repeat(total[opens], np.diff(np.r_[np.flatnonzero(opens), len(doc)]))
-    path, left = [], []
-    for order, (live, here, row, edge, noise, best, so_far, won) in enumerate(steps):
-        path.append(np.stack([live, np.full(len(live), order), t.piece[edge[won]]], 1))
-        lost = np.ones(len(row), bool)
-        lost[won] = False
-        lost = np.flatnonzero(lost)
-        if not len(lost):
-            continue
-        own = row[lost]
-        d = doc[live][own]
-        phi = (prior[doc[live]] + total[live] + so_far)[own]
-        g, z = noise[lost], best[own]
-        with np.errstate(divide="ignore"):
-            u = top[d] - (g + phi) + np.log(-np.expm1(np.minimum(g - z, -1e-300)))
-        # a value falls as u rises: the best few of each document in this step, whose rows stand together
-        opens = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        size = np.diff(np.r_[opens, len(d)])
-        for _ in range(beside):
-            k = np.flatnonzero(u == np.repeat(np.minimum.reduceat(u, opens), size))
-            k = k[np.r_[True, d[k][1:] != d[k][:-1]] & (u[k] < np.inf)]
-            if not len(k):
-                break
-            e, at_ = edge[lost[k]], own[k]
-            left.append((d[k], u[k], live[at_], here[at_], e, phi[k] + t.log[e]))
-            u[k] = np.inf
-    behind = []
-    if left:
-        d, u, place, before, edge, phi = (np.concatenate(c) for c in zip(*left))
-        value = top[d] - np.maximum(u, 0) - np.log1p(np.exp(-np.abs(u)))
-        order = np.lexsort((u, d))
+        edge = _ranges(t.first[here], n)
+        row = np.repeat(np.arange(len(k)), n)
+        lost = np.flatnonzero(edge != path[k][row])
+        edge, row = edge[lost], row[lost]
+        d, k = d[row], k[row]
+        phi = prior[d] + (before[k] - before[low[d]]) + t.log[edge]
+        return d, top[d] - phi + np.log(-np.log(_uniform(seat[row] ^ _mixed(t.piece[edge].astype(_U) + _U(1))))), k, edge, phi
+
+    def best(d, u, k, edge, phi):
+        order = np.lexsort((k, u, d))
         nth = np.arange(len(d)) - np.searchsorted(d[order], d[order])
-        k = order[nth < beside]
-        behind = list(zip(d[k].tolist(), value[k].tolist(), word[place[k]].tolist(), before[k].tolist(), edge[k].tolist(), phi[k].tolist()))
-    path = np.concatenate(path) if path else np.empty((0, 3), np.int64)
-    path = path[np.lexsort((path[:, 1], path[:, 0]))]
-    return doc[path[:, 0]], word[path[:, 0]], path[:, 2], path[:, 1], total + width, behind
+        order = order[nth < beside]
+        return d[order], u[order], k[order], edge[order], phi[order]
+
+    found = best(*drawn(np.arange(len(of)), low, near))
+    many = np.bincount(found[0], minlength=len(of))
+    limit = np.where(many == beside, found[1][(np.cumsum(many) - 1).clip(0)] if len(found[0]) else np.inf, np.inf)
+    with np.errstate(divide="ignore"):
+        rate = prior + before[near] - before[low] + np.log(-np.expm1(before[high] - before[near]))
+        least = top - rate + np.log(-np.log(_uniform(key ^ _U(_B))))
+    far = np.flatnonzero((near < high) & ~(least > limit))
+    if len(far):
+        d, u, *rest = drawn(far, near[far], high[far])
+        first = np.full(len(of), np.inf)
+        np.minimum.at(first, d, u)
+        with np.errstate(divide="ignore"):
+            moved = np.logaddexp(least[d], u + np.log1p(-np.exp(first[d] - u)))
+        u = np.where(least[d] < np.inf, moved, u)
+        found = best(*(np.concatenate(c) for c in zip(found, (d, u, *rest))))
+    d, u, k, edge, phi = found
+    value = top[d] - np.maximum(u, 0) - np.log1p(np.exp(-np.abs(u)))
+    word = np.searchsorted(begins, k, side="right") - 1 - opens[d]
+    return zip(of[d].tolist(), value.tolist(), word.tolist(), (k - low[d]).tolist(), edge.tolist(), phi.tolist())
 
 
 def sample(own: Pieces, keys: list[int], texts: list[str | None], samples: int = SAMPLES, seed: int = SEED):
     """For each text up to `samples` segmentations, by falling perturbed value: (ids, log-probability, log of the
     inclusion score). A text with fewer segmentations gives all of them, with inclusion 1."""
-    split = [own.words(t) for t in texts]
-    t = lattices = Lattices(own, list(dict.fromkeys(chain.from_iterable(split))))
-    nodes = [np.fromiter(map(lattices.start.__getitem__, words), np.int64, len(words)) for words in split]
-    base = np.array([xxhash.xxh64_intdigest(str(k), seed) for k in keys], _U)
+    ids, bounds, rows = _sample(Store(own), keys, [own.marked(t) for t in texts], samples, seed)
     results: list[list] = [[] for _ in texts]
-    queue = [[] for _ in texts]
-    for i, words in enumerate(split):
-        g = float(_gumbel(base[i : i + 1])[0])
-        queue[i].append((g, 0, None, None, 0.0, np.empty(0, np.int64), np.empty(0, np.int64)))
-    paths: list[list] = [[] for _ in texts]
+    for (i, _, log, inclusion), a, b in zip(rows, bounds, bounds[1:]):
+        results[i].append((ids[a:b], log, inclusion))
+    return results
+
+
+def _sample(t: Store, keys: list[int], marked: list[str], samples: int, seed: int):
+    """All samples' ids in a row, where each one's begin (with the end of all), and (text, rank, log-probability, log
+    of the inclusion score) of each."""
+    code, begins, words = t.pieces.split(marked)
+    n, nodes = len(marked), t.find(code, begins)
+    ends = np.cumsum(words).tolist()
+    opens = [0, *ends[:-1]]
+    first = np.cumsum([0, *map(len, marked)])[:-1]  # a text's first character
+    shifts = begins[:-1] - np.repeat(first, words) - nodes
+    base = np.array([xxhash.xxh64_intdigest(str(k), seed) for k in keys], _U)
+    # on a document's queue: value; word, pieces and edge where a path is left, or the root's; log-probability with that edge; number of the path
+    queue: list[list] = [[(g, 0, 0, None, 0.0, 0)] for g in (-np.log(-np.log(_uniform(base)))).tolist()]
+    paths: list[list] = [[] for _ in marked]  # (pieces, log-probability)
     for turn in range(samples):
-        going = [i for i in range(len(texts)) if queue[i]]
+        going = [i for i in range(n) if queue[i]]
         if not going:
             break
-        doc, word, node, prior, top = [], [], [], np.zeros(len(texts)), np.zeros(len(texts))
+        doc, node, shift, prior, top = [], [], [], np.zeros(n), np.zeros(n)
         heads = {}
         for i in going:
             q = max(range(len(queue[i])), key=lambda k: queue[i][k][0])
-            value, w, before, edge, phi, pieces, of = queue[i].pop(q)
-            heads[i] = (value, pieces, of, phi)
-            prior[i], top[i] = phi, value
-            rest = nodes[i][w:].copy()
+            top[i], w, at, edge, prior[i], of = queue[i].pop(q)
+            rest = nodes[opens[i] + w : ends[i]]
+            ahead = None
             if edge is not None:
+                ahead = np.append(paths[i][of][0][:at], t.piece[edge])
+                rest = rest.copy()
                 rest[0] = t.to[edge]
+            heads[i] = w, ahead
             doc.append(np.full(len(rest), i))
-            word.append(np.arange(w, w + len(rest)))
             node.append(rest)
-        doc, word, node = (np.concatenate(c) for c in (doc, word, node))
-        if len(doc):
-            d, w, piece, order, ends, behind = _descend(t, doc, word, node, prior, top, base + _mixed(np.array([turn + 1], _U)), samples - turn)
-        else:
-            d, w, piece, order, ends, behind = doc, word, node, node, prior[:0], []
-        cuts = np.searchsorted(d, np.arange(len(texts) + 1))
-        last = np.searchsorted(doc, np.arange(len(texts)), side="right") - 1
+            shift.append(shifts[opens[i] + w : ends[i]])
+        doc, node, shift = (np.concatenate(c) for c in (doc, node, shift))
+        key = base + _mixed(np.array([turn + 1], _U))
+        path, starts = _descend(t, doc, node, shift, key)
+        pieces, logs = t.piece[path], t.log[path]
+        cuts = starts[np.searchsorted(doc, np.arange(n + 1))].tolist()
         for i in going:
-            value, pieces, of, phi = heads[i]
-            paths[i].append((np.concatenate([pieces, piece[cuts[i] : cuts[i + 1]]]), np.concatenate([of, w[cuts[i] : cuts[i + 1]]]), phi + (float(ends[last[i]]) if len(doc) and doc[last[i]] == i else 0.0)))
-        for i, value, w0, before, edge, phi in behind:
-            whole, of, _ = paths[i][-1]
-            # the path up to the node: all words before, and this word's pieces up to it
-            k = int(np.searchsorted(of, w0))
-            at, node_ = k, int(nodes[i][w0])
-            while node_ != before:
-                node_ = _next(t, node_, int(whole[at]))
-                at += 1
-            queue[i].append((value, w0, before, edge, phi, np.append(whole[:at], t.piece[edge]), np.append(of[:at], w0)))
-    for i in range(len(texts)):
+            a, b = cuts[i], cuts[i + 1]
+            own = pieces[a:b] if heads[i][1] is None else np.concatenate([heads[i][1], pieces[a:b]])
+            paths[i].append((own, float(prior[i]) + float(logs[a:b].sum())))
+        if len(doc):
+            for i, value, w, at, edge, phi in _left(t, doc, node, shift, key, path, starts, prior, top, samples - turn):
+                w0, ahead = heads[i]
+                queue[i].append((value, w0 + w, at + (0 if ahead is None else len(ahead)), edge, phi, turn))
+    ids, begins = t.pieces.ids(np.concatenate([np.empty(0, np.int32), *(pieces for of in paths for pieces, _ in of)]))
+    rows = []
+    for i in range(n):
         threshold = max((q[0] for q in queue[i]), default=-np.inf)
-        for pieces, _, log in paths[i]:
+        for rank, (_, log) in enumerate(paths[i], 1):
             if threshold == -np.inf:
                 inclusion = 0.0
             else:
                 x = log - threshold
                 inclusion = float(np.log(-np.expm1(-np.exp(x)))) if x > -30 else float(x)
-            results[i].append((own.ids(pieces), log, inclusion))
-    return results
-
-
-def _next(t: Lattices, node: int, piece: int) -> int:
-    f = int(t.first[node])
-    return int(t.to[f + int(np.flatnonzero(t.piece[f : f + int(t.count[node])] == piece)[0])])
+            rows.append((i, rank, log, inclusion))
+    return ids, begins[np.cumsum([0, *(len(pieces) for of in paths for pieces, _ in of)])].tolist(), rows
 
 
 @lru_cache(maxsize=2)
@@ -323,15 +449,21 @@ def pieces_of(path: str, temperature: float) -> Pieces:
     return Pieces(path, temperature)
 
 
-def _batches(texts: list[str | None], most: int = CHARS):
-    """Bounds of runs of texts of `most` characters at most together, or of one text."""
+@lru_cache(maxsize=1)
+def store_of(path: str, temperature: float) -> Store:
+    """One store of lattices for each Python worker."""
+    return Store(pieces_of(path, temperature))
+
+
+def _batches(sizes: list[int], most: int = CHARS):
+    """Bounds of runs of texts, of so many characters each, that have `most` together at most, or of one text."""
     start = held = 0
-    for k, t in enumerate(texts):
-        if k > start and held + len(t or "") > most:
+    for k, size in enumerate(sizes):
+        if k > start and held + size > most:
             yield start, k
             start, held = k, 0
-        held += len(t or "")
-    yield start, len(texts)
+        held += size
+    yield start, len(sizes)
 
 
 def sampled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str | None = None, samples: int = SAMPLES, temperature: float = TEMPERATURE, seed: int = SEED) -> DataFrame:
@@ -346,19 +478,26 @@ def sampled(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", model:
     @tidy
     def work(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
-        own = pieces_of(model, temperature)
+        store = store_of(model, temperature)
+        own = store.pieces
         names = ["doc_id", "rank", "n_pieces", "ids", "log_prob", "log_inclusion", "decoded"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32()), pa.float64(), pa.float64(), pa.bool_()]
         for batch in batches:
-            every, whole = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in _batches(whole):
-                keys, texts, rows = every[a:b], whole[a:b], []
-                for key, text, found in zip(keys, texts, sample(own, keys, texts, samples, seed)):
-                    plain = own.model.normalize(text or "").replace("▁", " ").removeprefix(" ")
-                    for r, (ids, log, inclusion) in enumerate(found):
-                        rows.append((key, r + 1, len(ids), ids.astype(np.int32), log, inclusion, own.model.decode(ids.tolist()) == plain))
-                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds)], names=names)
+            every = batch.column(0).to_pylist()
+            for a, b in _batches(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()):
+                keys, marked = every[a:b], [own.marked(t) for t in batch.column(1).slice(a, b - a).to_pylist()]
+                ids, bounds, rows = _sample(store, keys, marked, samples, seed)
+                ids = ids.astype(np.int32, copy=False)
+                plain = [m.replace("▁", " ").removeprefix(" ") for m in marked]
+                columns = [[], [], [], None, [], [], []]
+                for (i, rank, log, inclusion), c, d in zip(rows, bounds, bounds[1:]):
+                    same = own.model.decode(ids[c:d]) == plain[i]
+                    for column, x in zip((0, 1, 2, 4, 5, 6), (keys[i], rank, d - c, log, inclusion, same)):
+                        columns[column].append(x)
+                columns[3] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([c if k == 3 else pa.array(c, kinds[k]) for k, c in enumerate(columns)], names=names)
 
     return docs.select(F.col(doc_id).cast("long"), F.col(text)).mapInArrow(work, "doc_id long, rank int, n_pieces long, ids array<int>, log_prob double, log_inclusion double, decoded boolean")
 
