@@ -237,6 +237,16 @@ def test_lattices_of_words_that_come_again(monkeypatch):
     assert built[::2][2] == 0 and built[0] > built[2] >= 1  # short words: all, then the new one, then none
 
 
+def test_scores_do_not_depend_on_the_texts_beside():
+    """Log-probabilities are equal to the last digit, whatever stands before a text in its run."""
+    own = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"))
+    texts = [" ".join(random.Random(k).choices(["the", "nation", "Thing,", "reason.", "was", "under"], k=400)) for k in range(60)]
+    for k, found in enumerate(piece_sampling.sample(own, list(range(60)), texts, 3)):
+        [alone] = piece_sampling.sample(own, [k], [texts[k]], 3)
+        assert [(i.tolist(), log) for i, log, _ in found] == [(i.tolist(), log) for i, log, _ in alone]
+        assert [c for _, _, c in found] == pytest.approx([c for _, _, c in alone], abs=1e-12)
+
+
 def test_samples_are_distinct_and_decode():
     own = piece_sampling.Pieces(vocabulary("piece_bpe_32k.model"))
     texts = ["ab cd", "the cat", "héx", "", None, " a  b", "漢x", "\x00", "a" * 200]

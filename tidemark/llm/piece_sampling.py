@@ -329,7 +329,8 @@ def _left(t: Store, doc, node, shift, key, path, begins, prior, top, beside: int
     opens = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
     of, low, high = doc[opens], begins[opens], begins[np.r_[opens[1:], len(doc)]]
     prior, top, key = prior[of], top[of], key[of]
-    before = np.concatenate([np.zeros(1), np.cumsum(t.log[path])])  # falls all along
+    logs = t.log[path]
+    before = np.concatenate([np.zeros(1), np.cumsum(logs)])  # falls all along
     near = np.searchsorted(-before, HORIZON - before[low], side="right").clip(low, high)
 
     def drawn(docs, a, b):
@@ -369,6 +370,9 @@ def _left(t: Store, doc, node, shift, key, path, begins, prior, top, beside: int
         u = np.where(least[d] < np.inf, moved, u)
         found = best(*(np.concatenate(c) for c in zip(found, (d, u, *rest))))
     d, u, k, edge, phi = found
+    # once more by the document's own numbers, as `before` has the rounding of those that stand before it
+    own = prior[d] + np.array([logs[a:b].sum() for a, b in zip(low[d].tolist(), k.tolist())]) + t.log[edge]
+    u, phi = u + (phi - own), own
     value = top[d] - np.maximum(u, 0) - np.log1p(np.exp(-np.abs(u)))
     word = np.searchsorted(begins, k, side="right") - 1 - opens[d]
     return zip(of[d].tolist(), value.tolist(), word.tolist(), (k - low[d]).tolist(), edge.tolist(), phi.tolist())
