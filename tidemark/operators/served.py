@@ -1,7 +1,17 @@
 """What the store and the service answer: ranges, newest rows, versions, clocks, staleness, facets, queues; and sketches
 whose state merges by addition or minimum. Each oracle says the same in another way."""
 
-from tidemark.plans.dialect import plan
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+
+from tidemark.operators import pairs
+from tidemark.plans.catalog import query
+from tidemark.plans.dialect import oracle, plan, run
 
 plan("vec_since_range", """
 WITH n AS (SELECT entity, MAX(us) AS newest FROM {obs} o GROUP BY entity)
@@ -131,9 +141,9 @@ SELECT f, n, LEAST(SUM(n) OVER (PARTITION BY p0), SUM(n) OVER (PARTITION BY p1),
 
 # Consistent weighted sampling: of each hash the feature of least a_k; equal choices (feature and level) estimate weighted
 # Jaccard. 64 hashes in 16 bands give candidates, which exact minima and maxima confirm.
-_SETS = """
+_OLD = """
 WITH f AS (SELECT entity, token || '/' || CAST(object_id % 4 AS STRING) AS f, CAST(COUNT(*) AS DOUBLE) AS w FROM {obs} o GROUP BY entity, token || '/' || CAST(object_id % 4 AS STRING))"""
-plan("weighted_minhash_pairs", _SETS + """,
+plan("weighted_minhash_pairs", _OLD + """,
 k AS (SELECT entity, f, w, k, f || '#' || CAST(k AS STRING) AS a, f || '@' || CAST(k AS STRING) AS b FROM f CROSS JOIN (SELECT EXPLODE(SEQUENCE(0, 63)) AS k) v),
 u AS (SELECT entity, f, w, k, -LN((HEX8(a, 1) + 1) / 4294967297e0) - LN((HEX8(a, 9) + 1) / 4294967297e0) AS r, -LN((HEX8(a, 17) + 1) / 4294967297e0) - LN((HEX8(a, 25) + 1) / 4294967297e0) AS c, HEX8(b, 1) / 4294967296e0 AS beta FROM k),
 t AS (SELECT *, FLOOR(LN(w) / r + beta) AS level FROM u), h AS (SELECT entity, k, MIN_BY(f || '=' || CAST(CAST(level AS BIGINT) AS STRING), c * EXP(-r * (level - beta) - r)) AS choice FROM t GROUP BY entity, k),
@@ -142,12 +152,50 @@ c AS (SELECT DISTINCT a.entity AS e1, b.entity AS e2 FROM s a JOIN s b ON a.band
 n AS (SELECT entity, SUM(w) AS total FROM f GROUP BY entity), m AS (SELECT e1, e2, SUM(LEAST(x.w, y.w)) AS common FROM c JOIN f x ON x.entity = e1 JOIN f y ON y.entity = e2 AND y.f = x.f GROUP BY e1, e2)
 SELECT e1, e2, ROUND(common / (p.total + q.total - common), 6) AS jaccard FROM m JOIN n p ON p.entity = e1 JOIN n q ON q.entity = e2 WHERE 2 * common >= p.total + q.total - common""", with_oracle=False)
 
-plan("weighted_jaccard_exact", _SETS + """,
-n AS (SELECT entity, SUM(w) AS total FROM f GROUP BY entity), m AS (SELECT x.entity AS e1, y.entity AS e2, SUM(LEAST(x.w, y.w)) AS common FROM f x JOIN f y ON x.f = y.f AND x.entity < y.entity GROUP BY x.entity, y.entity)
-SELECT e1, e2, ROUND(common / (p.total + q.total - common), 6) AS jaccard FROM m JOIN n p ON p.entity = e1 JOIN n q ON q.entity = e2 WHERE 2 * common >= p.total + q.total - common""", """
+_SETS = "SELECT entity AS id, token || '/' || CAST(object_id % 4 AS STRING) AS f, COUNT(*) AS w FROM {obs} o GROUP BY entity, token || '/' || CAST(object_id % 4 AS STRING)"
+_ALIKE = "e1 long, e2 long, jaccard double"
+
+
+def _sets(spark, sf_dir):
+    return run(spark, sf_dir, _SETS).where("id IS NOT NULL AND f IS NOT NULL")
+
+
+def _totalled(table: pa.Table) -> pairs.Block:
+    block = pairs.from_rows(table)
+    block.columns["total"] = np.add.reduceat(block.w, block.ptr[:-1])
+    return block
+
+
+def _alike(a: pairs.Block, b: pairs.Block, x: np.ndarray, y: np.ndarray, common: np.ndarray) -> dict:
+    total = a.columns["total"][x] + b.columns["total"][y]
+    return pairs.ends(a, b, x, y) | {"jaccard": pairs.rounded(common / (total - common), 6)}
+
+
+def _half(a: pairs.Block, b: pairs.Block):
+    """Keeps pairs of a weighted Jaccard index of a half or more, each once."""
+    p, q = a.columns["total"], b.columns["total"]
+
+    def keep(x, y, values):
+        m = 3 * values[0] >= p[x] + q[y]
+        return m & (x < y) if a is b else m
+
+    return keep
+
+
+@query("weighted_jaccard_exact", oracle("""
 WITH f AS (SELECT entity, token || '/' || (object_id % 4) AS f, COUNT(*) AS w FROM {obs} GROUP BY ALL), e AS (SELECT DISTINCT f FROM f), p AS (SELECT a.entity AS e1, b.entity AS e2 FROM (SELECT DISTINCT entity FROM f) a JOIN (SELECT DISTINCT entity FROM f) b ON a.entity < b.entity),
 j AS (SELECT e1, e2, SUM(LEAST(COALESCE(x.w, 0), COALESCE(y.w, 0)))::DOUBLE / SUM(GREATEST(COALESCE(x.w, 0), COALESCE(y.w, 0))) AS j FROM p CROSS JOIN e LEFT JOIN f x ON x.entity = e1 AND x.f = e.f LEFT JOIN f y ON y.entity = e2 AND y.f = e.f GROUP BY e1, e2)
-SELECT e1, e2, ROUND(j, 6) AS jaccard FROM j WHERE j >= 0.5""")
+SELECT e1, e2, ROUND(j, 6) AS jaccard FROM j WHERE j >= 0.5"""))
+def weighted_jaccard_exact(spark, sf_dir):
+    """Pairs of entities by their sums of lesser weights, block by block."""
+
+    def work(a: pairs.Block, b: pairs.Block) -> Iterator[dict]:
+        for x, y, (common,) in pairs.overlaps(a, b, "least", _half(a, b)):
+            yield _alike(a, b, x, y, common.astype(float))
+
+    n, line = pairs.PLANE
+    return pairs.block_pairs(pairs.blocks(_sets(spark, sf_dir), _totalled, n), (n, line), work, _ALIKE)
+
 
 plan("mutual_ten_nearest", """
 WITH f AS (SELECT entity, token, CAST(COUNT(*) AS DOUBLE) AS w FROM {obs} o GROUP BY entity, token), n AS (SELECT entity, SQRT(SUM(w * w)) AS norm FROM f GROUP BY entity),
