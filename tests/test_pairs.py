@@ -67,3 +67,22 @@ def test_weighted_jaccard_by_blocks(spark, tmp_path):
     df = workload.QUERIES["weighted_jaccard_exact"](spark, events(spark, tmp_path, rows))
     got = {(r.e1, r.e2): r.jaccard for r in df.collect()}
     assert got == want and len(got) > 20 and "Join" not in text_of(df)
+
+
+def test_mutual_nearest_by_blocks(spark, tmp_path):
+    """Without a join; many entities are equal, so that ids break ties; tokens that are null count nowhere."""
+    rows = some_events(120, 4, ("view", "click")) + [(1, u, None, 1) for u in range(0, 120, 5) for _ in range(6)]
+    of = defaultdict(Counter)
+    for _, u, t, _ in rows:
+        if t is not None:
+            of[u][t] += 1
+    norm = {u: math.sqrt(sum(w * w for w in c.values())) for u, c in of.items()}
+    best = {}
+    for a in of:
+        near = sorted((-round(dot / (norm[a] * norm[b]), 9), b) for b in of if b != a and (dot := sum(w * of[b][t] for t, w in of[a].items())))
+        best[a] = {b: -c for c, b in near[:10]}
+    want = {(a, b): round(c, 6) for a in best for b, c in best[a].items() if a < b and a in best[b]}
+    df = workload.QUERIES["mutual_ten_nearest"](spark, events(spark, tmp_path, rows))
+    got = {(r.e1, r.e2): r.cos for r in df.collect()}
+    assert got.keys() == want.keys() and len(got) > 50 and "Join" not in text_of(df)
+    assert all(got[p] == pytest.approx(c, abs=1.5e-6) for p, c in want.items())

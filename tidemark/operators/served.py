@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tidemark.operators import pairs
 from tidemark.plans.catalog import query
@@ -197,12 +198,38 @@ def weighted_jaccard_exact(spark, sf_dir):
     return pairs.block_pairs(pairs.blocks(_sets(spark, sf_dir), _totalled, n), (n, line), work, _ALIKE)
 
 
-plan("mutual_ten_nearest", """
-WITH f AS (SELECT entity, token, CAST(COUNT(*) AS DOUBLE) AS w FROM {obs} o GROUP BY entity, token), n AS (SELECT entity, SQRT(SUM(w * w)) AS norm FROM f GROUP BY entity),
-s AS (SELECT a.entity AS e1, b.entity AS e2, ROUND(SUM(a.w * b.w) / MAX(x.norm * y.norm), 9) AS cos FROM f a JOIN f b ON a.token = b.token AND a.entity <> b.entity JOIN n x ON x.entity = a.entity JOIN n y ON y.entity = b.entity GROUP BY a.entity, b.entity),
-k AS (SELECT e1, e2, cos, ROW_NUMBER() OVER (PARTITION BY e1 ORDER BY cos DESC, e2) AS k FROM s)
-SELECT a.e1, a.e2, ROUND(a.cos, 6) AS cos FROM k a JOIN k b ON a.e1 = b.e2 AND a.e2 = b.e1 WHERE a.k <= 10 AND b.k <= 10 AND a.e1 < a.e2""", """
+def _normed(table: pa.Table) -> pairs.Block:
+    block = pairs.from_rows(table)
+    block.columns["norm"] = np.sqrt(np.add.reduceat(block.w * block.w, block.ptr[:-1]))
+    return block
+
+
+@query("mutual_ten_nearest", oracle("""
 WITH f AS (SELECT entity, COUNT(*) FILTER (token = 'view')::DOUBLE AS v, COUNT(*) FILTER (token = 'click')::DOUBLE AS c, COUNT(*) FILTER (token = 'purchase')::DOUBLE AS p, COUNT(*) FILTER (token = 'signup')::DOUBLE AS s, COUNT(*) FILTER (token = 'error')::DOUBLE AS e FROM {obs} GROUP BY entity),
 s AS (SELECT a.entity AS e1, b.entity AS e2, ROUND((a.v * b.v + a.c * b.c + a.p * b.p + a.s * b.s + a.e * b.e) / (SQRT(a.v ** 2 + a.c ** 2 + a.p ** 2 + a.s ** 2 + a.e ** 2) * SQRT(b.v ** 2 + b.c ** 2 + b.p ** 2 + b.s ** 2 + b.e ** 2)), 9) AS cos FROM f a JOIN f b ON a.entity <> b.entity),
 t AS (SELECT * FROM s WHERE cos > 0 QUALIFY ROW_NUMBER() OVER (PARTITION BY e1 ORDER BY cos DESC, e2) <= 10)
-SELECT e1, e2, ROUND(cos, 6) AS cos FROM t WHERE e1 < e2 AND EXISTS (SELECT 1 FROM t b WHERE b.e1 = t.e2 AND b.e2 = t.e1)""")
+SELECT e1, e2, ROUND(cos, 6) AS cos FROM t WHERE e1 < e2 AND EXISTS (SELECT 1 FROM t b WHERE b.e1 = t.e2 AND b.e2 = t.e1)"""))
+def mutual_ten_nearest(spark, sf_dir):
+    """The entities of a block against all blocks, ten best each; of these the pairs that are there both ways."""
+
+    def work(g: int, held: dict[int, bytes]) -> Iterator[dict]:
+        if g not in held:
+            return
+        a = pairs.Block.unpack(held[g])
+        tops, p = pairs.Tops(len(a), 10), a.columns["norm"]
+        for k, data in held.items():
+            b = a if k == g else pairs.Block.unpack(data)
+            q = b.columns["norm"]
+
+            def keep(x, y, values):
+                m = values[0] >= tops.floor()[x] * (p[x] * q[y])
+                return m & (x != y) if b is a else m
+
+            for x, y, (dot,) in pairs.overlaps(a, b, "dot", keep):
+                tops.add(x, b.ids[y], dot / (p[x] * q[y]))
+        yield tops.rows(a.ids)
+
+    n, _ = pairs.PLANE
+    sets = run(spark, sf_dir, "SELECT entity AS id, token AS f, COUNT(*) AS w FROM {obs} o GROUP BY entity, token").where("id IS NOT NULL AND f IS NOT NULL")
+    near = pairs.in_groups(pairs.blocks(sets, _normed, n), F.sequence(F.lit(0), F.lit(n - 1)), n, work, "id long, other long, value double")
+    return near.groupBy(F.least("id", "other").alias("e1"), F.greatest("id", "other").alias("e2")).agg(F.count("*").alias("n"), F.max("value").alias("cos")).where("n = 2").select("e1", "e2", F.round(F.round("cos", 9), 6).alias("cos"))
