@@ -86,3 +86,23 @@ def test_mutual_nearest_by_blocks(spark, tmp_path):
     got = {(r.e1, r.e2): r.cos for r in df.collect()}
     assert got.keys() == want.keys() and len(got) > 50 and "Join" not in text_of(df)
     assert all(got[p] == pytest.approx(c, abs=1.5e-6) for p, c in want.items())
+
+
+def test_adamic_adar_by_blocks(spark, tmp_path):
+    """Pairs meet in no join; writes of no known entity count among an object's."""
+    rows = [(1, u, "signup", o) for o in range(6) for u in range(o, 300, o + 1)] + [(1, None, "purchase", 0), (1, 7, "signup", "null")]
+    of = defaultdict(set)
+    for _, u, _, o in rows:
+        of[o].add(u)
+    common = defaultdict(list)
+    for o in range(6):
+        for a in of[o] - {None}:
+            for b in of[o] - {None}:
+                if a < b:
+                    common[a, b].append(1 / math.log(len(of[o]) + 1))
+    want = {p: (len(v), sum(v)) for p, v in common.items() if len(v) >= 3}
+    df = workload.QUERIES["adamic_adar_support"](spark, events(spark, tmp_path, rows))
+    got = {(r.e1, r.e2): (r.common, r.adamic_adar) for r in df.collect()}
+    assert got.keys() == want.keys() and len(got) > 500
+    assert all(got[p][0] == n and abs(got[p][1] - x) < 1e-6 for p, (n, x) in want.items())
+    assert text_of(df).count("Join") == 1

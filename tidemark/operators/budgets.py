@@ -1,13 +1,17 @@
 """Budgets over horizons, roll-ups of tiers, and footprints across systems."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from tidemark.operators import pairs
 from tidemark.plans.catalog import query
 from tidemark.plans.dialect import oracle, plan, run
 
-#: Entities of an object in a block: pairs are formed block by block, so that a hot object is no single task's.
-BLOCK = 256
-
 plan("budget_horizons", """
 WITH d AS (SELECT entity, day, SUM(w) AS n FROM {flow} f GROUP BY entity, day)
 SELECT entity, day, CAST(n AS BIGINT) AS day_1, CAST(SUM(n) OVER (PARTITION BY entity ORDER BY day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS day_7, CAST(SUM(n) OVER (PARTITION BY entity ORDER BY day RANGE BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS day_30 FROM d""")
@@ -29,16 +33,29 @@ _WRITTEN = "SELECT DISTINCT entity, object_id FROM {obs} o WHERE is_write = 1"
 WITH d AS ({_WRITTEN}), f AS (SELECT object_id, COUNT(*) AS df FROM d GROUP BY object_id)
 SELECT a.entity AS e1, b.entity AS e2, COUNT(*) AS common, ROUND(SUM(1 / LN(df + 1e0)), 6) AS adamic_adar FROM d a JOIN d b ON a.object_id = b.object_id AND a.entity < b.entity JOIN f ON f.object_id = a.object_id GROUP BY a.entity, b.entity HAVING COUNT(*) >= 3"""))
 def adamic_adar_support(spark, sf_dir):
-    """Pairs of entities by the objects both write; each pair of an object's blocks is a key of the join."""
-    d = run(spark, sf_dir, _WRITTEN).where("entity IS NOT NULL AND object_id IS NOT NULL")
-    f = d.groupBy("object_id").agg(F.count("*").alias("df"))
-    cut = d.join(f, "object_id").withColumn("n", F.ceil(F.col("df") / BLOCK)).withColumn("own", F.pmod(F.xxhash64("entity"), F.col("n")))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    cut = cut.select("object_id", "entity", "df", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    return run(spark, sf_dir, """
-SELECT a.entity AS e1, b.entity AS e2, COUNT(*) AS common, ROUND(SUM(1 / LN(a.df + 1e0)), 6) AS adamic_adar
-FROM {cut} a JOIN {cut} b ON a.object_id = b.object_id AND a.low = b.low AND a.high = b.high AND a.entity < b.entity AND (a.low = a.high OR a.own <> b.own)
-GROUP BY a.entity, b.entity HAVING COUNT(*) >= 3""", cut=cut)
+    """Pairs of entities by the objects both write, as products of matrices, block by block."""
+
+    def work(a: pairs.Block, b: pairs.Block) -> Iterator[dict]:
+        def keep(x, y, values):
+            m = values[0] >= 3
+            return m & (x < y) if a is b else m
+
+        for x, y, (common, support) in pairs.overlaps(a, b, "adamic", keep, 1 / np.log(a.columns["df"] + 1.0)):
+            yield pairs.ends(a, b, x, y) | {"common": common.astype(np.int64), "adamic_adar": pairs.rounded(support, 6)}
+
+    d = run(spark, sf_dir, _WRITTEN).where("object_id IS NOT NULL")
+    f = d.groupBy("object_id").agg(F.count("*").alias("w"))
+    sets = d.where("entity IS NOT NULL").join(f, "object_id").select(F.col("entity").alias("id"), F.col("object_id").alias("f"), "w")
+    n, line = pairs.PLANE
+    return pairs.block_pairs(pairs.blocks(sets, _spread, n), (n, line), work, "e1 long, e2 long, common long, adamic_adar double")
+
+
+def _spread(table: pa.Table) -> pairs.Block:
+    """A block whose weights are 1, with the entities of each object (`df`)."""
+    block = pairs.from_rows(table)
+    df = np.zeros(len(block.names))
+    df[block.at] = block.w
+    return pairs.Block(block.ids, block.ptr, block.at, np.ones(len(block.at)), block.names, df=df)
 
 
 plan("tier_rollup_entity_class_system_org", """
