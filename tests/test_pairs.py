@@ -106,3 +106,42 @@ def test_adamic_adar_by_blocks(spark, tmp_path):
     assert got.keys() == want.keys() and len(got) > 500
     assert all(got[p][0] == n and abs(got[p][1] - x) < 1e-6 for p, (n, x) in want.items())
     assert text_of(df).count("Join") == 1
+
+
+@pytest.mark.parametrize("many", [0.0, math.inf])
+def test_weighted_minhash_by_blocks(monkeypatch, many):
+    """Candidates one by one and all pairs of a block give the pairs that share a band and half their weight."""
+    import pyarrow as pa
+
+    from tidemark.operators import served
+
+    monkeypatch.setattr(served, "MANY", many)
+    of = defaultdict(Counter)
+    for _, u, t, o in some_events(90, 14):
+        of[u][f"{t}/{o % 4}"] += 1
+    keys, made = {}, []
+    for part in (range(0, 50), range(50, 90)):
+        rows = [(u, f, w) for u in part for f, w in of[u].items()]
+        made.append(served._banded(pa.table(dict(zip(("id", "f", "w"), map(list, zip(*rows)))))))
+        keys |= dict(zip(made[-1].ids.tolist(), served.band_keys(made[-1])))
+    found = {}
+    monkeypatch.setattr(served.pairs, "block_pairs", lambda packed, plane, work, schema: work)
+    monkeypatch.setattr(served.pairs, "blocks", lambda *_: None)
+    monkeypatch.setattr(served, "_sets", lambda *_: None)
+    work = served.weighted_minhash_pairs(None, None)
+    a, b = (pairs.Block.unpack(m.pack()) for m in made)
+    for x, y in ((a, a), (a, b), (b, b)):
+        for got in work(x, y):
+            found |= {(p, q): j for p, q, j in zip(*(got[c].tolist() for c in ("e1", "e2", "jaccard")))}
+    want = {}
+    for p in of:
+        for q in of:
+            j = sum((of[p] & of[q]).values()) / sum((of[p] | of[q]).values())
+            if p < q and j >= 0.5 and (keys[p] == keys[q]).any():
+                want[p, q] = math.floor(j * 1e6 + 0.5) / 1e6
+    assert found == want and len(want) > 20
+
+
+def test_weighted_minhash_shuffles_no_pairs(spark, tmp_path):
+    df = workload.QUERIES["weighted_minhash_pairs"](spark, events(spark, tmp_path, some_events()))
+    assert "Join" not in text_of(df) and df.count() > 5

@@ -140,19 +140,6 @@ SELECT c.f, MAX(c.n) AS n, CAST(MIN(s.total) AS BIGINT) AS estimate FROM c JOIN
 WITH k AS (SELECT object_id || ':' || token AS f, COUNT(*) AS n, ('0x' || md5(object_id || ':' || token)[5:8])::INT % 64 AS p0, ('0x' || md5(object_id || ':' || token)[13:16])::INT % 64 AS p1, ('0x' || md5(object_id || ':' || token)[21:24])::INT % 64 AS p2, ('0x' || md5(object_id || ':' || token)[29:32])::INT % 64 AS p3 FROM {obs} GROUP BY object_id, token)
 SELECT f, n, LEAST(SUM(n) OVER (PARTITION BY p0), SUM(n) OVER (PARTITION BY p1), SUM(n) OVER (PARTITION BY p2), SUM(n) OVER (PARTITION BY p3))::BIGINT AS estimate FROM k""")
 
-# Consistent weighted sampling: of each hash the feature of least a_k; equal choices (feature and level) estimate weighted
-# Jaccard. 64 hashes in 16 bands give candidates, which exact minima and maxima confirm.
-_OLD = """
-WITH f AS (SELECT entity, token || '/' || CAST(object_id % 4 AS STRING) AS f, CAST(COUNT(*) AS DOUBLE) AS w FROM {obs} o GROUP BY entity, token || '/' || CAST(object_id % 4 AS STRING))"""
-plan("weighted_minhash_pairs", _OLD + """,
-k AS (SELECT entity, f, w, k, f || '#' || CAST(k AS STRING) AS a, f || '@' || CAST(k AS STRING) AS b FROM f CROSS JOIN (SELECT EXPLODE(SEQUENCE(0, 63)) AS k) v),
-u AS (SELECT entity, f, w, k, -LN((HEX8(a, 1) + 1) / 4294967297e0) - LN((HEX8(a, 9) + 1) / 4294967297e0) AS r, -LN((HEX8(a, 17) + 1) / 4294967297e0) - LN((HEX8(a, 25) + 1) / 4294967297e0) AS c, HEX8(b, 1) / 4294967296e0 AS beta FROM k),
-t AS (SELECT *, FLOOR(LN(w) / r + beta) AS level FROM u), h AS (SELECT entity, k, MIN_BY(f || '=' || CAST(CAST(level AS BIGINT) AS STRING), c * EXP(-r * (level - beta) - r)) AS choice FROM t GROUP BY entity, k),
-s AS (SELECT entity, CAST(FLOOR(k / 4e0) AS BIGINT) AS band, ARRAY_JOIN(TRANSFORM(ARRAY_SORT(COLLECT_LIST(NAMED_STRUCT('k', k, 'choice', choice))), x -> x.choice), ';') AS key FROM h GROUP BY entity, CAST(FLOOR(k / 4e0) AS BIGINT)),
-c AS (SELECT DISTINCT a.entity AS e1, b.entity AS e2 FROM s a JOIN s b ON a.band = b.band AND a.key = b.key AND a.entity < b.entity),
-n AS (SELECT entity, SUM(w) AS total FROM f GROUP BY entity), m AS (SELECT e1, e2, SUM(LEAST(x.w, y.w)) AS common FROM c JOIN f x ON x.entity = e1 JOIN f y ON y.entity = e2 AND y.f = x.f GROUP BY e1, e2)
-SELECT e1, e2, ROUND(common / (p.total + q.total - common), 6) AS jaccard FROM m JOIN n p ON p.entity = e1 JOIN n q ON q.entity = e2 WHERE 2 * common >= p.total + q.total - common""", with_oracle=False)
-
 _SETS = "SELECT entity AS id, token || '/' || CAST(object_id % 4 AS STRING) AS f, COUNT(*) AS w FROM {obs} o GROUP BY entity, token || '/' || CAST(object_id % 4 AS STRING)"
 _ALIKE = "e1 long, e2 long, jaccard double"
 
@@ -183,6 +170,115 @@ def _half(a: pairs.Block, b: pairs.Block):
     return keep
 
 
+#: Hashes of the consistent weighted sampling below, and bands of them.
+HASHES, BANDS = 64, 16
+
+
+def _hex8(names: list[str], tail: str, place: int) -> np.ndarray:
+    """A number below 2 ** 32 for each name and hash: eight digits of its digest."""
+    return np.array([[int(hashlib.md5(f"{f}{tail}{k}".encode()).hexdigest()[place : place + 8], 16) for k in range(HASHES)] for f in names], float).reshape(-1, HASHES)
+
+
+def band_keys(block: pairs.Block) -> np.ndarray:
+    """A 64-bit key for each entity and band: of each hash the feature of least a_k with its level, four choices a band."""
+    r = -np.log((_hex8(block.names, "#", 0) + 1) / 4294967297.0) - np.log((_hex8(block.names, "#", 8) + 1) / 4294967297.0)
+    c = -np.log((_hex8(block.names, "#", 16) + 1) / 4294967297.0) - np.log((_hex8(block.names, "#", 24) + 1) / 4294967297.0)
+    beta = _hex8(block.names, "@", 0) / 4294967296.0
+    name = np.array([int(hashlib.md5(f.encode()).hexdigest()[:16], 16) for f in block.names], np.uint64)
+    cuts = np.unique(np.searchsorted(block.ptr, np.arange(0, len(block.at) + 65536, 65536), side="right") - 1)
+    keys = np.empty((len(block), HASHES), np.uint64)
+    for a, b in zip(cuts, np.append(cuts[1:], len(block))):
+        if a == b:
+            continue
+        own = slice(block.ptr[a], block.ptr[b])
+        at, n = block.at[own], np.diff(block.ptr[a : b + 1])
+        level = np.floor(np.log(block.w[own])[:, None] / r[at] + beta[at])
+        cost = c[at] * np.exp(-r[at] * (level - beta[at]) - r[at])
+        row = np.repeat(np.arange(b - a), n)
+        least = np.minimum.reduceat(cost, block.ptr[a:b] - block.ptr[a])
+        entry, k = np.nonzero(cost == least[row])
+        keys[a + row[entry], k] = _mixed(name[at[entry]], level[entry, k].astype(np.int64).astype(np.uint64))
+    out = np.arange(BANDS, dtype=np.uint64) + np.zeros((len(block), 1), np.uint64)
+    for step in range(HASHES // BANDS):
+        out = _mixed(out, keys[:, step :: HASHES // BANDS])
+    return out.view(np.int64)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of two (the finaliser of SplitMix64)."""
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _banded(table: pa.Table) -> pairs.Block:
+    block = _totalled(table)
+    block.columns["keys"] = band_keys(block)
+    return block
+
+
+def _keyed(block: pairs.Block) -> pairs.Block:
+    """A block whose features are its band keys."""
+    names, at = np.unique(block.columns["keys"], return_inverse=True)
+    n = len(block) * BANDS
+    return pairs.Block(block.ids, np.arange(0, n + 1, BANDS), at.ravel(), np.ones(n), names.tolist())
+
+
+def _common(a: pairs.Block, b: pairs.Block, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of lesser weights of single pairs, from lists of their features."""
+    where = {f: k for k, f in enumerate(b.names)}
+    to = np.array([where.get(f, -1) for f in a.names], np.int64)
+    pair, at, w = a.take(x, to)
+    other, bt, v = b.take(y, np.arange(len(b.names)))
+    left, right = pair * len(b.names) + at, other * len(b.names) + bt
+    order = np.argsort(right)
+    k = np.minimum(np.searchsorted(right, left, sorter=order), len(right) - 1)
+    k = order[k]
+    m = right[k] == left
+    return np.bincount(pair[m], np.minimum(w[m], v[k[m]]), minlength=len(x))
+
+
+#: More shared keys than this part of all pairs: lesser weights of all pairs cost less than those of candidates one by one.
+MANY = 1 / 40
+
+
+@query("weighted_minhash_pairs")
+def weighted_minhash_pairs(spark, sf_dir):
+    """Consistent weighted sampling: equal choices (feature and level) estimate weighted Jaccard. 64 hashes in 16 bands give
+    candidates, which exact minima and maxima confirm, block by block; only blocks are shuffled."""
+
+    def work(a: pairs.Block, b: pairs.Block) -> Iterator[dict]:
+        half = _half(a, b)
+        p = _keyed(a)
+        q = p if a is b else _keyed(b)
+        where = dict(zip(q.names, np.bincount(q.at).tolist()))
+        hits = sum(n * where.get(f, 0) for f, n in zip(p.names, np.bincount(p.at).tolist()))
+        if hits > MANY * len(a) * len(b):
+            codes = {f: k for k, f in enumerate(q.names)}
+            r = np.array([codes.get(f, -1) for f in p.names], np.int32)[p.at].reshape(-1, BANDS)
+            c = q.at.astype(np.int32).reshape(-1, BANDS)
+
+            def keep(x, y, values):
+                m = half(x, y, values)
+                near = np.zeros(m.shape, bool)
+                for k in range(BANDS):
+                    near |= r[x, k] == c[y, k]
+                return m & near
+
+            for x, y, (common,) in pairs.overlaps(a, b, "least", keep):
+                yield _alike(a, b, x, y, common.astype(float))
+            return
+        for x, y, _ in pairs.overlaps(p, q, "least", (lambda x, y, v: x < y) if a is b else (lambda x, y, v: v[0] > 0)):
+            common = _common(a, b, x, y)
+            m = half(x, y, [common])
+            if m.any():
+                yield _alike(a, b, x[m], y[m], common[m])
+
+    n, line = pairs.PLANE
+    return pairs.block_pairs(pairs.blocks(_sets(spark, sf_dir), _banded, n), (n, line), work, _ALIKE)
+
+
 @query("weighted_jaccard_exact", oracle("""
 WITH f AS (SELECT entity, token || '/' || (object_id % 4) AS f, COUNT(*) AS w FROM {obs} GROUP BY ALL), e AS (SELECT DISTINCT f FROM f), p AS (SELECT a.entity AS e1, b.entity AS e2 FROM (SELECT DISTINCT entity FROM f) a JOIN (SELECT DISTINCT entity FROM f) b ON a.entity < b.entity),
 j AS (SELECT e1, e2, SUM(LEAST(COALESCE(x.w, 0), COALESCE(y.w, 0)))::DOUBLE / SUM(GREATEST(COALESCE(x.w, 0), COALESCE(y.w, 0))) AS j FROM p CROSS JOIN e LEFT JOIN f x ON x.entity = e1 AND x.f = e.f LEFT JOIN f y ON y.entity = e2 AND y.f = e.f GROUP BY e1, e2)
