@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_whole import events
 
 from tidemark import workload
@@ -145,3 +146,27 @@ def test_weighted_minhash_by_blocks(monkeypatch, many):
 def test_weighted_minhash_shuffles_no_pairs(spark, tmp_path):
     df = workload.QUERIES["weighted_minhash_pairs"](spark, events(spark, tmp_path, some_events()))
     assert "Join" not in text_of(df) and df.count() > 5
+
+
+def test_nearest_vectors_by_blocks(spark, tmp_path):
+    """Without a join; with equal vectors, null components and, last of all, a vector of nulls only."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-3, 4, (400, 4)).astype(float)
+    x[(x == 0).all(1)] = 1
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    rows[7] = (7, [None, 2.0, 1.0, None])
+    x[7] = (0, 2, 1, 0)
+    rows += [(400, [None] * 4), (401, None), (402, [])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("label", F.lit(0)).write.parquet(f"{tmp_path}/embeddings.parquet")
+    norm = np.sqrt((x * x).sum(1))
+    cos = (x @ x.T) / (norm[:, None] * norm)
+    df = workload.QUERIES["knn_cosine"](spark, str(tmp_path))
+    got = {(r.q, r.k): (r.c, r.cosine) for r in df.collect()}
+    asked = [q for q in range(400) if q in {q for q, _ in got}]
+    assert set(range(0, 400, 50)) <= set(asked)
+    for q in asked:
+        near = sorted((-round(cos[q, c], 9), c) for c in range(400) if c != q)[:3]
+        for k, (v, c) in enumerate(near):
+            assert got[q, k + 1][0] == c and abs(got[q, k + 1][1] + v) < 2e-6
+    assert [got[400, k] for k in (1, 2, 3)] == [(0, None), (1, None), (2, None)]
+    assert "Join" not in text_of(df)

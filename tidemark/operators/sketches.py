@@ -4,8 +4,22 @@ Where a summary of the stream is exact in batch (decayed counts, top-k, heavy hi
 HyperLogLog queries are approximate and have no oracle. Uniform numbers come from ids by a multiplicative hash.
 """
 
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tidemark.operators import pairs
 from tidemark.operators.rules import _MATCHES
-from tidemark.plans.dialect import plan
+from tidemark.plans.catalog import query
+from tidemark.plans.dialect import oracle, plan
+from tidemark.sources.tables import table
 
 _U = "(((event_id * 2654435761 + 12345) % 4294967296) + 0.5e0) / 4294967296e0"
 
@@ -75,10 +89,83 @@ WITH x AS (SELECT entity % 5 AS a, system AS b FROM (SELECT DISTINCT entity, sys
 q AS (SELECT SUM(n * (n - 1) / 2e0) AS q FROM (SELECT a, SUM(n) AS n FROM c GROUP BY a) y), r AS (SELECT SUM(n * (n - 1) / 2e0) AS r FROM (SELECT b, SUM(n) AS n FROM c GROUP BY b) z), t AS (SELECT SUM(n) * (SUM(n) - 1) / 2e0 AS t FROM c)
 SELECT ROUND((p - q * r / t) / (0.5e0 * (q + r) - q * r / t), 6) AS ari FROM p CROSS JOIN q CROSS JOIN r CROSS JOIN t""")
 
-plan("knn_cosine", """
+@query("knn_cosine", oracle("""
 WITH n AS (SELECT vec_id, SQRT(SUM(x * x)) AS norm FROM {vec} v GROUP BY vec_id), s AS (SELECT a.vec_id AS q, b.vec_id AS c, SUM(a.x * b.x) AS dot FROM {vec} a JOIN {vec} b ON a.dim = b.dim AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY a.vec_id, b.vec_id),
 k AS (SELECT q, c, dot / (x.norm * y.norm) AS cosine, ROW_NUMBER() OVER (PARTITION BY q ORDER BY ROUND(dot / (x.norm * y.norm), 9) DESC, c) AS k FROM s JOIN n x ON x.vec_id = q JOIN n y ON y.vec_id = c)
-SELECT q, CAST(k AS BIGINT) AS k, c, ROUND(cosine, 6) AS cosine FROM k WHERE k <= 3""")
+SELECT q, CAST(k AS BIGINT) AS k, c, ROUND(cosine, 6) AS cosine FROM k WHERE k <= 3"""))
+def knn_cosine(spark, sf_dir):
+    """The three nearest of each vector, by products of blocks; each group of blocks gives its best, the best of these count."""
+
+    def work(g: int, held: dict[int, bytes]) -> Iterator[dict]:
+        own = [(k, Vectors(*pickle.loads(held[k]))) for d in line if (k := (g + d) % n) in held]
+        tops = [pairs.Tops(len(v.ids), 3) for _, v in own]
+        for i, (k, a) in enumerate(own):
+            for j in range(i if k == g else i + 1, len(own)):
+                nearest(a, own[j][1], tops[i], tops[j])
+        for (_, v), t in zip(own, tops):
+            yield t.rows(v.ids)
+
+    n, line = pairs.NARROW
+    packed = pairs.blocks(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").where("id IS NOT NULL AND SIZE(embedding) > 0"), Vectors.of, n)
+    found = pairs.in_groups(packed, F.array(*(F.pmod(F.col("block") - d, F.lit(n)) for d in line)), n, work, "id long, other long, value double").where("id % 50 = 0")
+    order = Window.partitionBy("id").orderBy(F.round("value", 9).desc(), "other")
+    best = found.withColumn("k", F.row_number().over(order)).where("k <= 3")
+    return best.select(F.col("id").alias("q"), F.col("k").cast("long").alias("k"), F.col("other").alias("c"), F.round("value", 6).alias("cosine"))
+
+
+class Vectors:
+    """Vectors of a block, as they are stored, zeros for nulls; `none` are those with nulls only, whose cosines are null."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, none: np.ndarray):
+        self.ids, self.x, self.none = ids, x, none
+        wide = x.astype(float)
+        with np.errstate(all="ignore"):
+            self.unit = wide / np.sqrt(np.einsum("ij,ij->i", wide, wide))[:, None]
+
+    @classmethod
+    def of(cls, rows: pa.Table) -> Vectors:
+        v = rows["embedding"].combine_chunks()
+        n = pc.list_value_length(v).to_numpy(zero_copy_only=False).astype(np.int64)
+        row = np.repeat(np.arange(len(n)), n)
+        flat = v.flatten()
+        x = np.zeros((len(n), n.max()), flat.type.to_pandas_dtype())
+        x[row, pairs.spread(np.zeros_like(n), n)] = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        known = np.bincount(row, flat.is_valid().to_numpy(zero_copy_only=False), minlength=len(n))
+        return cls(rows["id"].to_numpy(), x, known == 0)
+
+    def pack(self) -> bytes:
+        return pickle.dumps((self.ids, self.x, self.none))
+
+
+def nearest(a: Vectors, b: Vectors, of_a: pairs.Tops, of_b: pairs.Tops) -> None:
+    """Enters each vector's cosines with the other block into its best, tile by tile; for a block with itself once."""
+    d = min(a.x.shape[1], b.x.shape[1])
+    for i in range(0, len(a.ids), pairs.STRIP):
+        p = slice(i, i + pairs.STRIP)
+        for j in range(0, len(b.ids), pairs.WIDE):
+            q = slice(j, j + pairs.WIDE)
+            s = a.unit[p, :d] @ b.unit[q, :d].T
+            if a.none.any() or b.none.any():
+                s[a.none[p][:, None] | b.none[q]] = -np.inf
+            same = a.ids[p][:, None] == b.ids[q] if a is b else None
+            _enter(s, same, p, q, b.ids, of_a)
+            if a is not b:
+                _enter(s.T, None, q, p, a.ids, of_b)
+
+
+def _enter(s: np.ndarray, same, p: slice, q: slice, ids: np.ndarray, tops: pairs.Tops) -> None:
+    least, k = tops.floor()[p], tops.key.shape[1]
+    if same is not None:
+        s[same] = np.nan
+    if s.shape[1] > k and (empty := np.isneginf(least)).any():
+        # Not-a-number counts as the least here, which lowers the bound at most.
+        least[empty] = -np.partition(-s[empty], k - 1, axis=1)[:, k - 1] - 1e-9
+    m = ~(s < least[:, None])
+    if same is not None:
+        m &= ~same
+    row, column = np.nonzero(m)
+    tops.add(row + p.start, ids[column + q.start], s[row, column])
+
 
 # An edge for each peer that two entities share: C(n, 2) inside a class of n at a peer, and n * (all - 1) ends.
 plan("modularity_of_classes", """
