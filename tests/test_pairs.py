@@ -170,3 +170,9 @@ def test_nearest_vectors_by_blocks(spark, tmp_path):
             assert got[q, k + 1][0] == c and abs(got[q, k + 1][1] + v) < 2e-6
     assert [got[400, k] for k in (1, 2, 3)] == [(0, None), (1, None), (2, None)]
     assert "Join" not in text_of(df)
+
+
+def test_nearest_of_every_vector(spark, small):
+    ids = {r.vec_id for r in spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id").collect()}
+    got = Counter(r.q for r in workload.QUERIES["knn_cosine"](spark, small).collect())
+    assert got == dict.fromkeys(ids, 3) and "% 50" not in workload.ORACLES["knn_cosine"]
